@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from weftline.llm.components import hash_to_min
 
-_BLANKS = r"[\s   -​  　﻿]+"
+_BLANKS = r"[\s  -​ ⁠　﻿]+"
 
 
 def design_spelling(c: Column | str) -> Column:
     """Lower case, ё as е, single inner blanks, no outer blanks; blank text becomes NULL."""
     c = F.col(c) if isinstance(c, str) else c
-    s = F.regexp_replace(F.lower(c), "ё", "е")
-    s = F.trim(F.regexp_replace(F.translate(s, "ё", "е"), _BLANKS, " "))
+    s = F.regexp_replace(F.lower(c), r"ё|е\u0308", "е")
+    s = F.trim(F.regexp_replace(s, _BLANKS, " "))
     return F.when(s != "", s)
 
 
