@@ -69,7 +69,7 @@ def _contexts(h: np.ndarray, end: np.uint64) -> Iterator[tuple[int, np.ndarray,
     since = at - np.maximum.accumulate(np.where(h == end, at, -1))
     acc, power = np.zeros(n, np.uint64), np.uint64(1)
     with np.errstate(over="ignore"):
-        for q in range(1, max(CONTEXTS) + 1):
+        for q in range(1, min(n, max(CONTEXTS)) + 1):
             acc[q - 1 :] += h[: n - q + 1] * power
             power = power * np.uint64(BASE)
             if q in CONTEXTS:
