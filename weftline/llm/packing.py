@@ -48,15 +48,8 @@ def token_lengths(documents: DataFrame, doc: str = "doc_id", text: str = "text",
     return documents.select(F.col(doc).alias("id"), text).mapInArrow(_count(vocabulary), f"id {kind}, tokens long")
 
 
-def pack_histogram(histogram: Mapping[int, int], capacity: int) -> list[tuple[int, list[int]]]:
-    """Packing patterns (count, lengths in order of placement) for a histogram of lengths 1..capacity.
-
-    Lengths are placed longest first. The open patterns are kept by room left; a length
-    goes to the shortest pack, the one with the most room, if it fits, for as many
-    packs of that pattern as there are items; a pattern used in part is split
-    in two. If even the shortest pack is too full, new packs are opened. The
-    work depends on the number of lengths and patterns, not on the number of documents.
-    """
+def _shortest_pack_first(histogram: Mapping[int, int], capacity: int, opened: int) -> list[tuple[int, list[int]]]:
+    """One pass with ``opened`` empty packs to begin with; more are opened when the shortest is too full."""
     open_: dict[int, list[list]] = {}  # room left -> [count, chain of lengths]
     rooms: list[int] = []  # heap of minus room
 
@@ -66,13 +59,13 @@ def pack_histogram(histogram: Mapping[int, int], capacity: int) -> list[tuple[in
             heapq.heappush(rooms, -room)
         open_[room].append([count, lengths])
 
+    if opened:
+        put(capacity, opened, None)
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
-        if not 0 < length <= capacity:
-            raise ValueError(f"length {length} outside 1..{capacity}")
         while n > 0:
-            while rooms and not open_.get(-rooms[0]):
-                open_.pop(-heapq.heappop(rooms), None)
+            while rooms and not open_[-rooms[0]]:
+                del open_[-heapq.heappop(rooms)]
             room = -rooms[0] if rooms else 0
             if room < length:
                 put(capacity - length, n, (length, None))
@@ -91,10 +84,38 @@ def pack_histogram(histogram: Mapping[int, int], capacity: int) -> list[tuple[in
             while c:
                 lengths.append(c[0])
                 c = c[1]
-            out.append((count, lengths[::-1]))
+            if lengths:
+                out.append((count, lengths[::-1]))
     return sorted(out, key=lambda p: (-p[1][0], p[1], p[0]))
 
 
+def pack_histogram(histogram: Mapping[int, int], capacity: int) -> list[tuple[int, list[int]]]:
+    """Packing patterns (count, lengths in order of placement) for a histogram of lengths 1..capacity.
+
+    Shortest-pack-first: lengths are placed longest first, each in the pack with the most
+    room, for as many packs of that pattern as there are items; a pattern used
+    in part is split in two, and new packs are opened when the shortest is too full. Filling the shortest pack spreads
+    what stays unused over all packs, so the number of packs to begin with is
+    chosen by bisection between the least possible and what is opened unasked: the
+    smallest that needs no further ones. The work depends on the numbers of
+    lengths and patterns, not on the number of documents.
+    """
+    histogram = {x: n for x, n in histogram.items() if n > 0}
+    if any(not 0 < x <= capacity for x in histogram):
+        raise ValueError(f"lengths must lie in 1..{capacity}")
+    used = lambda p: sum(c for c, _ in p)
+    best = _shortest_pack_first(histogram, capacity, 0)
+    low = -(-sum(x * n for x, n in histogram.items()) // capacity)
+    while low < used(best):
+        middle = (low + used(best)) // 2
+        tried = _shortest_pack_first(histogram, capacity, middle)
+        if used(tried) <= middle:
+            best = tried
+        else:
+            low = middle + 1
+    return best
+
+
 def placements(patterns: list[tuple[int, list[int]]]) -> np.ndarray:
     """Rows (length, first rank, first sequence, offset): documents of a length, by rank, go to consecutive sequences from there."""
     used: dict[int, int] = {}

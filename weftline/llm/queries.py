@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from weftline.llm import designs, leakage, near_images, packing, splits, truncation
+from weftline.llm import designs, leakage, near_images, packing, splits, subset, truncation
+
+#: Pairs that p1_subset chooses.
+SUBSET = 1000
 
 
 def _t(spark, d, name):
@@ -11,6 +14,7 @@ def _t(spark, d, name):
 
 def queries():
     return {
+        "p1_subset": lambda s, d: subset.varied_subset(_t(s, d, "manifest_pairs"), SUBSET),
         "p2_found": lambda s, d: designs.design_groups(_t(s, d, "design_links")),
         "p2_split_groups": lambda s, d: designs.consolidated_split_groups(_t(s, d, "manifest_sku"), _t(s, d, "design_links")),
         "p3_found": lambda s, d: near_images.found_overlaps(_t(s, d, "manifest_images")),
