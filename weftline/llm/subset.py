@@ -59,7 +59,7 @@ def pivoted_rows(a: np.ndarray, k: int, tolerance: float = 1e-6) -> np.ndarray:
 
 
 def _best(t: pa.Table, k: int, rank: int, rooms: int) -> pa.Table:
-    t = t.sort_by([("room", "ascending"), ("item", "ascending"), ("class", "ascending")])
+    t = t.sort_by([("room", "ascending"), ("item", "ascending"), ("late", "ascending"), ("class", "ascending")])
     a = features(t["item"].to_numpy().view(np.uint64), t["room"].to_numpy().astype(np.int64), rank, rooms)
     return t.take(pa.array(pivoted_rows(a, k)))
 
@@ -81,9 +81,9 @@ def _nominate(k: int, rank: int, rooms: int, block: int = 2048):
 
 def _tournament(rows: DataFrame, k: int, rank: int, rooms: int) -> DataFrame:
     """Nominees of all partitions, reduced pairwise: nodes 2i and 2i + 1 of a level meet in node i of the next."""
-    schema = "class long, item long, room int, node int"
+    schema = "class long, item long, room int, late int, node int"
     n = rows.rdd.getNumPartitions()
-    cur = rows.withColumn("node", F.pmod(F.spark_partition_id(), F.lit(n))).select("class", "item", "room", "node").mapInArrow(_nominate(k, rank, rooms), schema)
+    cur = rows.withColumn("node", F.pmod(F.spark_partition_id(), F.lit(n))).select("class", "item", "room", "late", "node").mapInArrow(_nominate(k, rank, rooms), schema)
     while n > 1:
         n = -(-n // 2)
         cur = cur.withColumn("node", F.floor(F.col("node") / 2).cast("int"))
@@ -125,7 +125,10 @@ def varied_subset(df: DataFrame, k: int, key: str = "pair_id", item: str = "sku_
         room = F.lit(0)
         for i, x in enumerate(names):
             room = F.when(F.col("group_name").eqNullSafe(F.lit(x)), i).otherwise(room)
-    classes = classes.select("class", "item", "n", room.cast("int").alias("room"), F.col("group_name").isNull().alias("late"))
+    # An item's records without a group share the direction of its smallest group, after those that have one.
+    home = classes.filter("group_name is not null").groupBy(F.col("item").alias("hi")).agg(F.min("group_name").alias("home"))
+    classes = classes.join(home, F.col("item") == F.col("hi"), "left").withColumn("late", F.col("group_name").isNull().cast("int")).withColumn("group_name", F.coalesce("group_name", "home"))
+    classes = materialize(classes.select("class", "item", "n", room.cast("int").alias("room"), "late"), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     turn = 0
     while len(chosen) < min(k, total):
@@ -142,11 +145,10 @@ def varied_subset(df: DataFrame, k: int, key: str = "pair_id", item: str = "sku_
         place = {x: i for i, x in enumerate(sorted(running))}
         rank = max(1, -(-want // len(place)))
         number = F.create_map(*[F.lit(x) for p in place.items() for x in p])
-        rows = open_.select("class", "item", number[F.col("room")].cast("int").alias("room"))
-        won = _tournament(rows, want, rank, len(place)).select("class", "item", "room").collect()
-        late = {r["class"] for r in open_.filter("late").filter(F.col("class").isin([r["class"] for r in won])).select("class").collect()} if None in names else set()
+        rows = open_.select("class", "item", number[F.col("room")].cast("int").alias("room"), "late")
+        won = _tournament(rows, want, rank, len(place)).select("class", "item", "late").collect()
         taken = set()
-        for r in sorted(won, key=lambda r: r["class"] in late):
+        for r in sorted(won, key=lambda r: (r["late"], r["class"])):
             if r["item"] not in taken and len(chosen) < k:
                 taken.add(r["item"])
                 turns[r["item"]] = turn + 1
