@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.durable import materialize
+
 
 def salted_row_number(df: DataFrame, group: list[str], order: list[str | Column], out: str = "rank", buckets: int = 256, salt_on: list[str] | None = None) -> DataFrame:
     """Give every row a 0-based rank within ``group``, unique and without gaps.
@@ -29,3 +31,65 @@ def salted_row_number(df: DataFrame, group: list[str], order: list[str | Column]
     ranked = rows.withColumn(at, F.row_number().over(Window.partitionBy(g, b).orderBy(*order)) - 1)
     joined = ranked.join(offsets, (F.col(g) == F.col(g + "2")) & (F.col(b) == F.col(b + "2")))
     return joined.withColumn(out, (F.col(off) + F.col(at)).cast("long")).drop(g, b, off, at, g + "2", b + "2")
+
+
+def global_index(df: DataFrame, order: list[str], out: str = "index") -> DataFrame:
+    """0-based position of every row in the order of ``order``, without a one-task sort.
+
+    Rows are range-partitioned, written once, and numbered inside their range; the offsets of the
+    ranges are a table of one row per range. NULLs come first. Rows with equal
+    ``order`` values get positions in undefined mutual order.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part, at, off = f"__part_{out}", f"__at_{out}", f"__off_{out}"
+    rows = materialize(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
+    offsets = counts.select(F.col(part).alias(part + "2"), F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(off))
+    numbered = rows.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
+    joined = numbered.join(F.broadcast(offsets), F.col(part) == F.col(part + "2"))  # one row per range
+    return joined.withColumn(out, (F.col(off) + F.col(at)).cast("long")).drop(part, at, off, part + "2")
+
+
+def average_rank(df: DataFrame, value: str, out: str = "avg_rank") -> DataFrame:
+    """1-based rank of ``value`` with ties at their mean, over the rows where it is known; NULL (and NaN) stay unranked.
+
+    Only distinct values with their counts are ordered (range-partitioned), so
+    a value that a third of all rows share is one row there.
+    """
+    v, c, i = f"__v_{out}", f"__c_{out}", f"__i_{out}"
+    known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    counts = df.select(known.alias(v)).filter(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias(c))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = materialize(counts.repartitionByRange(n, v).withColumn(i, F.spark_partition_id()), "values")
+    before = Window.orderBy(i).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy(i).agg(F.sum(c).alias("n")).select(F.col(i).alias("__r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
+    inside = F.coalesce(F.sum(c).over(Window.partitionBy(i).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = ranges.withColumn("__in", inside).join(F.broadcast(offsets), F.col(i) == F.col("__r")).select(v, (F.col("__o") + F.col("__in") + (F.col(c) + 1) / 2.0).alias(out))
+    return df.join(ranked, known == F.col(v), "left").drop(v)
+
+
+def percent_rank_average(df: DataFrame, value: str, out: str = "pct") -> DataFrame:
+    """``average_rank`` divided by the number of known values."""
+    n = df.agg(F.count(F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")))).first()[0]
+    return average_rank(df, value, out).withColumn(out, F.col(out) / F.lit(float(max(n, 1))))
+
+
+def exact_quantiles(df: DataFrame, value: str, at: list[float], group: list[str] | None = None) -> DataFrame:
+    """Exact quantiles by linear interpolation, as columns ``group``, ``q``, ``value``.
+
+    Values are ordered once by range partitioning; only the two rows beside each quantile
+    are looked at, so no group is held in one task. NULL and NaN are
+    skipped; a group without values has no rows.
+    """
+    group = group or []
+    spark = df.sparkSession
+    known = df.select(*group, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("__v")).filter("__v is not null")
+    rows = materialize(global_index(known, [*group, "__v"], "__i"), "ordered")
+    size = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    points = spark.createDataFrame([(float(q),) for q in at], "q double")
+    place = F.col("q") * (F.col("__n") - 1)
+    spots = size.crossJoin(F.broadcast(points)) if group else size.filter("__n > 0").join(F.broadcast(points))
+    spots = spots.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], "q", (place - F.floor(place)).alias("__w"), F.explode(F.array_distinct(F.array(F.floor(place) + F.col("__first"), F.ceil(place) + F.col("__first")))).alias("__at"))
+    hit = spots.join(rows.select("__i", "__v"), F.col("__at") == F.col("__i"))
+    out = hit.groupBy(*[F.col(f"__g{k}").alias(g) for k, g in enumerate(group)], "q").agg((F.min("__v") + F.max("__w") * (F.max("__v") - F.min("__v"))).alias("value"))
+    return out
