@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _VARIANT = r"\s*\((\d+)\)\s*$"
 
@@ -16,20 +17,20 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     """Composed Unicode form (no built-in does it)."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compat_fold(s: pd.Series) -> pd.Series:
     """Compatibility form, case-folded: 'ß' becomes 'ss', full-width letters plain ones."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x).casefold())
 
 
 def _blake(size: int):
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def digest(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else hashlib.blake2b(x.encode(), digest_size=size).digest())
 

@@ -116,6 +116,7 @@ SQL = {
  select image_id, round(scale, 6) scale, case when scale is not null then nw end new_width, case when scale is not null then nh end new_height,
  case when scale is not null then floor((768 - nw) / 2.0)::int end as left, case when scale is not null then floor((1024 - nh) / 2.0)::int end as top from n""",
     "pixel_normalise": f"with {FRAMES} select image_id, round((width % 256) / 127.5::double - 1, 6) as value from frames where width is not null",
+    "probe_headers": f"with {FRAMES} select image_id, case when width > 0 and height > 0 then width else -1 end as width, case when width > 0 and height > 0 then height else -1 end as height, not coalesce(width > 0 and height > 0, false) corrupt from frames",
     "json_extract": "select event_id, cast(json_extract_string(props, '$.k') as bigint) k from events",
     "kv_merge": f"with {MERGED} select * from merged",
     "kv_pivot": f"with {MERGED} select user_id, max(case when event_type = 'click' then props end) clicks, max(case when event_type = 'view' then props end) as views from merged group by 1",

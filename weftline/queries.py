@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.functions import ids, vectors
 from weftline.functions.nulls import known
 from weftline.operators import assets, catalog, copies, labeling, matching, pairs, splits, stages, stats, tables, wide
+from weftline.operators import frames as pixel_frames
 from weftline.operators.ranking import percent_rank_average
 from weftline.plans.durable import materialize
+from weftline.sources.directory import probe_headers
 from weftline.sources.json_attributes import attribute_rows
 
 # Raw categories of the item tables by garment group.
@@ -171,6 +176,64 @@ def _bootstrap(s, d):
     return stats.bootstrap_interval(a.unionByName(b), "pair_id", "score", ["l_linestatus"], n_boot=200)
 
 
+@F.pandas_udf(T.BinaryType())
+def _webp_head(width: pd.Series, height: pd.Series) -> pd.Series:
+    """First bytes of an extended WebP file of a given size: the tables hold no files."""
+    size = lambda n: int(n - 1).to_bytes(3, "little")
+    return pd.Series([None if w != w or h != h else b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\0\0\0\0" + size(w) + size(h) for w, h in zip(width, height)])
+
+
+def _headers(s, d):
+    f = _frames(s, d).select("image_id", F.when((F.col("width") > 0) & (F.col("height") > 0), _webp_head("width", "height")).alias("content"))
+    return probe_headers(f).select("image_id", "width", "height", "corrupt")
+
+
+@F.pandas_udf(T.BinaryType())
+def _picture(v: pd.Series) -> pd.Series:
+    """A grey picture of 48 x 48 pixels out of a vector."""
+
+    def draw(x):
+        x = np.asarray(x, float).reshape(8, 8)
+        x = (x - x.min()) / max(1e-9, x.max() - x.min()) * 255
+        return b"P5 48 48 255\n" + np.kron(x, np.ones((6, 6))).astype(np.uint8).tobytes()
+
+    return v.map(draw)
+
+
+def _pictures(s, d):
+    return _vectors(s, d).select(F.col("vec_id").alias("image_id"), _picture("embedding").alias("content"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _label_bytes(v: pd.Series) -> pd.Series:
+    """A 48 x 48 label map out of a vector."""
+    return v.map(lambda x: np.kron((np.abs(np.asarray(x, float)) * 60).astype(np.uint8).reshape(8, 8) % 18, np.ones((6, 6), np.uint8)).astype(np.uint8).tobytes())
+
+
+def _parsed(s, d):
+    size = [F.lit(48).alias("height"), F.lit(48).alias("width")]
+    v = _vectors(s, d).select(F.col("vec_id").alias("image_id"), _picture("embedding").alias("content"), _label_bytes("embedding").alias("parse"), *size, F.when(F.col("label") < 5, "upper").otherwise("lower").alias("category_group"))
+    return v
+
+
+def _masks(s, d):
+    m = pixel_frames.agnostic_masks(_parsed(s, d)).select("image_id", "mask", F.lit(48).alias("height"), F.lit(48).alias("width"))
+    return pixel_frames.mask_measures(m).select("image_id", _r("share").alias("share"))
+
+
+def _colour(s, d):
+    p = _parsed(s, d)
+    v = p.select("image_id", "content", "parse", "height", "width", "category_group")
+    return pixel_frames.garment_vectors(v).select("image_id", F.size("vector").alias("dimensions"))
+
+
+def _staged(s, d):
+    """The parse and colour stages through the stage runner, with a deterministic stand-in for the model."""
+    rows = _pictures(s, d)
+    parse = stages.run_stage(rows, "parse", {}, lambda batch: [r["content"][-64:] for r in batch])
+    return stages.run_stage(rows.select("image_id"), "embed", {"parse": parse}, lambda batch: [[b / 255 for b in r["parse"][:4]] for r in batch]).select("image_id", F.size("payload").alias("dimensions"))
+
+
 def _entry(s, d):
     """Working set per group and branch: the flagship pipeline from raw rows to countable frames."""
     w = stages.working_set(_annotated(s, d).drop("category_group"), _items(s, d))
@@ -196,6 +259,12 @@ def queries():
         "letterbox_geometry": _letterbox,
         "pixel_normalise": lambda s, d: _frames(s, d).filter("width is not null").select("image_id", _r(vectors.pixel_normalise(F.col("width") % 256)).alias("value")),
         "json_extract": lambda s, d: _t(s, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")),
+        # frames
+        "probe_headers": _headers,
+        "frame_features": lambda s, d: pixel_frames.frame_features(_pictures(s, d)).select("image_id", "read_ok", "content_md5", _r("sharpness").alias("sharpness"), "phash"),
+        "mask_load": _masks,
+        "garment_vectors": _colour,
+        "run_stage": _staged,
         # metadata
         "kv_merge": _merged,
         "kv_pivot": lambda s, d: _attrs(s, d).select("user_id", *catalog.pivot_keys("attrs", {"click": "clicks", "view": "views"})),
