@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 from weftline.plans.durable import materialize, release
 
-_MARK = (F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)")))
-
 
 def _links(edges: DataFrame, src: str, dst: str) -> DataFrame:
     return edges.select(F.col(src).alias("v"), F.col(dst).alias("u")).filter("v is not null and u is not null and v <> u").select(F.greatest("v", "u").alias("v"), F.least("v", "u").alias("u")).distinct()
@@ -42,7 +40,7 @@ def hash_to_min(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> D
         sent = cur.join(low, F.col("v") == F.col("w")).select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.v", "x.u")
         nxt = materialize(sent.distinct(), "h2m")
         release(cur)
-        cur, now = nxt, tuple(nxt.agg(*_MARK).first())
+        cur, now = nxt, tuple(nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
         if now == seen:
             return cur.groupBy(F.col("v").alias("vertex")).agg(F.min("u").alias("group_id"))
         seen = now
