@@ -180,7 +180,7 @@ def _bootstrap(s, d):
 def _webp_head(width: pd.Series, height: pd.Series) -> pd.Series:
     """First bytes of an extended WebP file of a given size: the tables hold no files."""
     size = lambda n: int(n - 1).to_bytes(3, "little")
-    return pd.Series([None if w != w or h != h else b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\0\0\0\0" + size(w) + size(h) for w, h in zip(width, height)])
+    return pd.Series([None if not (w > 0 and h > 0) else b"RIFF\0\0\0\0WEBPVP8X\x0a\0\0\0\0\0\0\0" + size(w) + size(h) for w, h in zip(width, height)])
 
 
 def _headers(s, d):
