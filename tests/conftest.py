@@ -5,6 +5,6 @@ from weftline.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    s = build_session("tests", cores=4, shuffle_partitions=4)
+    s = build_session("tests", shuffle_partitions=2)
     yield s
     s.stop()

@@ -13,7 +13,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _local_dirs: list[str] = []
 
@@ -48,6 +49,13 @@ def materialize(df: DataFrame, tag: str = "cut") -> DataFrame:
     return out
 
 
+def materialize_marked(df: DataFrame, columns: list[str], tag: str = "cut") -> tuple[DataFrame, tuple]:
+    """``materialize`` with a mark of the rows as a set (count and sum of hashes of ``columns``), taken while they are written."""
+    seen = Observation()
+    out = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(20,0)")).alias("h")), tag)
+    return out, (seen.get["n"], seen.get["h"])
+
+
 def release(*frames: DataFrame | None) -> None:
     """Delete tables made by ``materialize`` that no later plan reads."""
     for df in frames:
