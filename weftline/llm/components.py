@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.plans.durable import materialize, release
+from weftline.plans.durable import materialize, materialize_marked, release
 
 
 def _links(edges: DataFrame, src: str, dst: str) -> DataFrame:
@@ -34,17 +34,24 @@ def hash_to_min(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> D
     """
     link = _links(edges, src, dst)
     first = link.unionByName(link.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    cur, seen = materialize(first.unionByName(first.select("v", F.col("v").alias("u"))).distinct(), "h2m"), None
-    for _ in range(max_rounds):
-        low = cur.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "w")
-        sent = cur.join(low, F.col("v") == F.col("w")).select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u").alias("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("x")).select("x.v", "x.u")
-        nxt = materialize(sent.distinct(), "h2m")
+    start = first.unionByName(first.select("v", F.col("v").alias("u"))).distinct()
+    cur, seen = materialize_marked(start, ["v", "u"], "h2m")
+    for _ in range(max_rounds):  # two rounds per written table
+        nxt, now = materialize_marked(_sent(_sent(cur)), ["v", "u"], "h2m")
         release(cur)
-        cur, now = nxt, tuple(nxt.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(20,0)"))).first())
+        cur = nxt
         if now == seen:
             return cur.groupBy(F.col("v").alias("vertex")).agg(F.min("u").alias("group_id"))
         seen = now
-    raise RuntimeError(f"groups did not settle within {max_rounds} rounds")
+    raise RuntimeError(f"groups did not settle within {2 * max_rounds} rounds")
+
+
+def _sent(sets: DataFrame) -> DataFrame:
+    """What every vertex holds after one round."""
+    low = sets.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "w")
+    pair = lambda a, b: F.struct(F.col(a).alias("v"), F.col(b).alias("u"))
+    sent = sets.join(low, F.col("v") == F.col("w")).select(F.explode(F.array(pair("m", "u"), pair("u", "m"))).alias("x"))
+    return sent.select("x.v", "x.u").distinct()
 
 
 def hook_and_shortcut(edges: DataFrame, src: str, dst: str, vertices: DataFrame | None = None, vertex: str | None = None, max_rounds: int = 60) -> DataFrame:

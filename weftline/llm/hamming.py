@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 #: Rows of one bucket that a single task may hold; fuller buckets are split (exactly) before the shuffle.
 BUCKET_ROWS = 1_000_000
-_DENSE = 256
+#: Runs up to _DENSE rows are compared by offsets, row sets up to _SMALL in blocks of _BLOCK.
+_DENSE, _SMALL, _BLOCK = 256, 8192, 1024
+
+Pairs = Iterator[tuple[np.ndarray, np.ndarray]]
 
 
 def signed(mask: int) -> int:
@@ -33,90 +36,106 @@ def _first_two(x: np.ndarray, masks: np.ndarray, i: int, j: int) -> np.ndarray:
     return ok
 
 
-def _run_pairs(key: np.ndarray, h: np.ndarray, d: int, row: np.ndarray, accept) -> tuple[list, list, np.ndarray]:
-    """Pairs of rows with equal (sorted) ``key`` whose hashes differ in at most ``d`` bits; long runs are returned as marks instead."""
+def _run_pairs(key: np.ndarray, h: np.ndarray, d: int, row: np.ndarray, bits: list[int], accept) -> Pairs:
+    """Pairs of rows with equal (sorted) ``key`` whose hashes differ in at most ``d`` bits; ``bits`` are those that may differ inside a run."""
     n = len(key)
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, int)
     length = np.diff(np.r_[start, n])
-    long_run = length > _DENSE
-    alive = np.flatnonzero(np.repeat(~long_run & (length > 1), length))
-    left, right, off = [], [], 1
-    end = np.repeat(start + length, length)
+    short = length <= _DENSE
+    alive = np.flatnonzero(np.repeat(short & (length > 1), length))
+    end, off = np.repeat(start + length, length), 1
     while len(alive):
         alive = alive[alive + off < end[alive]]
-        a, b = h[alive], h[alive + off]
-        hit = np.flatnonzero(np.bitwise_count(a ^ b) <= d)
+        hit = alive[np.bitwise_count(h[alive] ^ h[alive + off]) <= d]
         if len(hit):
-            p, q = row[alive[hit]], row[alive[hit] + off]
+            p, q = row[hit], row[hit + off]
             keep = accept(p, q)
-            left.append(p[keep])
-            right.append(q[keep])
+            yield p[keep], q[keep]
         off += 1
-    return left, right, np.stack([start[long_run], (start + length)[long_run]], 1) if n else np.zeros((0, 2), int)
+    for lo, size in zip(start[~short], length[~short]):
+        rows = row[lo : lo + size]
+        for p, q in near_pairs(h[lo : lo + size], d, lambda p, q: accept(rows[p], rows[q]), bits):  # noqa: B023
+            yield rows[p], rows[q]
+
+
+def _all_pairs(h: np.ndarray, d: int, accept) -> Pairs:
+    """Pairs found block by block; only those within ``d`` bits leave a block."""
+    for s in range(0, len(h), _BLOCK):
+        for t in range(s, len(h), _BLOCK):
+            p, q = np.nonzero(np.bitwise_count(h[s : s + _BLOCK, None] ^ h[None, t : t + _BLOCK]) <= d)
+            p, q = s + p, t + q
+            keep = p < q
+            p, q = p[keep], q[keep]
+            keep = accept(p, q)
+            yield p[keep], q[keep]
 
 
-def near_pairs(h: np.ndarray, d: int, accept=None, bits: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows (by index) whose hashes differ in at most ``d`` bits.
+def near_pairs(h: np.ndarray, d: int, accept=None, bits: list[int] | None = None) -> Pairs:
+    """All pairs of rows (by index) whose hashes differ in at most ``d`` bits, in chunks.
 
-    Bits are cut into ``d + 2`` bands: two hashes within ``d`` bits agree on at least
-    two, so only rows that share two bands are compared; crowded buckets are cut
-    again over their remaining bits. Each pair comes once.
+    Only bits that vary among the rows matter. They are cut into ``d + 2`` bands: two hashes within
+    ``d`` bits agree on at least two, so only rows that share two bands are compared; crowded
+    buckets are cut again over their remaining bits. Rows so much alike that most share a bucket
+    are compared block by block (their pairs are then nearly all results). Each pair comes once.
     ``accept(p, q)`` may restrict the pairs (a mask over row arrays).
     """
     accept = accept or (lambda p, q: np.ones(len(p), bool))
-    bits = list(range(64)) if bits is None else bits
     n = len(h)
     if n < 2:
-        return np.zeros(0, int), np.zeros(0, int)
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-    if n <= _DENSE or len(bits) < 2 * (d + 2):
-        at = np.arange(n)
-        for s in range(0, n, 1024):
-            for t in range(s, n, 1024):
-                p, q = np.nonzero(np.bitwise_count(h[s : s + 1024, None] ^ h[None, t : t + 1024]) <= d)
-                p, q = at[s + p], at[t + q]
-                keep = p < q
-                p, q = p[keep], q[keep]
-                keep = accept(p, q)
-                left.append(p[keep])
-                right.append(q[keep])
-    else:
-        masks = np.array(split_bits(bits, d + 2), np.uint64)
-        for i in range(len(masks)):
-            for j in range(i + 1, len(masks)):
-                both = masks[i] | masks[j]
-                order = np.argsort(h & both, kind="stable")
-                hs = h[order]
-                own = lambda p, q: accept(p, q) & _first_two(h[p] ^ h[q], masks, i, j)  # noqa: B023, E731
-                a, b, dense = _run_pairs(hs & both, hs, d, order, own)
-                left += a
-                right += b
-                rest = [x for x in bits if not int(both) >> x & 1]
-                for lo, hi in dense:
-                    rows = order[lo:hi]
-                    a, b = near_pairs(h[rows], d, lambda p, q: own(rows[p], rows[q]), rest)  # noqa: B023
-                    left.append(rows[a])
-                    right.append(rows[b])
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, int)
-    return cat(left), cat(right)
-
-
-def forest(p: np.ndarray, q: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, smallest linked row) for the rows that have links: a spanning star of each local group."""
-    low = np.arange(n)
-    while len(p):
-        m = np.minimum(low[p], low[q])
-        before = low.copy()
-        np.minimum.at(low, p, m)
-        np.minimum.at(low, q, m)
-        np.minimum.at(low, before[p], m)
-        np.minimum.at(low, before[q], m)
-        low = low[low]
-        if np.array_equal(low, before):
-            break
-    at = np.flatnonzero(low != np.arange(n))
-    return at, low[at]
+        return
+    vary = int(np.bitwise_or.reduce(h ^ h[0]))
+    bits = [x for x in (range(64) if bits is None else bits) if vary >> x & 1]
+    if n <= _SMALL or len(bits) < 2 * (d + 2):
+        yield from _all_pairs(h, d, accept)
+        return
+    masks = np.array(split_bits(bits, d + 2), np.uint64)
+    fullest = max(int(np.unique(h & m, return_counts=True)[1].max()) for m in masks)
+    if 2 * fullest > n and n <= 8 * _SMALL:
+        yield from _all_pairs(h, d, accept)
+        return
+    for i in range(len(masks)):
+        for j in range(i + 1, len(masks)):
+            both = masks[i] | masks[j]
+            order = np.argsort(h & both, kind="stable")
+            hs = h[order]
+            rest = [x for x in bits if not int(both) >> x & 1]
+            yield from _run_pairs(hs & both, hs, d, order, rest, lambda p, q: accept(p, q) & _first_two(h[p] ^ h[q], masks, i, j))  # noqa: B023
+
+
+class Forest:
+    """Groups of rows that links join, each named by its smallest row. Links come in chunks and aren't kept."""
+
+    def __init__(self, n: int):
+        self.low = np.arange(n)
+        self.buffer: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        self.buffer.append((p, q))
+        self.held += len(p)
+        if self.held > 1_000_000:
+            self.join()
+
+    def join(self) -> None:
+        if not self.held:
+            return
+        p, q = (np.concatenate(x) for x in zip(*self.buffer))
+        self.buffer, self.held, low = [], 0, self.low
+        while True:
+            a, b = low[p], low[q]
+            apart = a != b
+            if not apart.any():
+                return
+            p, q = a[apart], b[apart]
+            np.minimum.at(low, np.maximum(p, q), np.minimum(p, q))
+            while not np.array_equal(low[low], low):
+                low[:] = low[low]
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        """(row, smallest row of its group) of every row that isn't the smallest itself."""
+        self.join()
+        at = np.flatnonzero(self.low != np.arange(len(self.low)))
+        return at, self.low[at]
 
 
 def bucket_rows(hashes: DataFrame, h: str, masks: list[int], emit, bucket_rows: int = BUCKET_ROWS, keep: list[str] | None = None) -> DataFrame:
@@ -161,23 +180,11 @@ def _tasks(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.nda
         yield int(c >> 40 if split else c), rows, rows["h"].to_numpy().view(np.uint64), rows["own"].to_numpy() if cross else None
 
 
-def _banded(h: np.ndarray, d: int, masks: np.ndarray, i: int, second: list[int], accept) -> tuple[np.ndarray, np.ndarray]:
+def _banded(h: np.ndarray, d: int, masks: np.ndarray, i: int, second: list[int], accept) -> Pairs:
     """Near pairs among rows of buckets of band ``i`` that also agree on a band of ``second``; ``accept(p, q, j)`` decides which band pair reports."""
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
     for j in second:
         both = masks[i] | masks[j]
         order = np.argsort(h & both, kind="stable")
         hs = h[order]
-        own = lambda p, q: accept(p, q, j)  # noqa: B023, E731
-        a, b, dense = _run_pairs(hs & both, hs, d, order, own)
-        left += a
-        right += b
         rest = [x for x in range(64) if not int(both) >> x & 1]
-        for lo, hi in dense:
-            rows = order[lo:hi]
-            a, b = near_pairs(h[rows], d, lambda p, q: own(rows[p], rows[q]), rest)  # noqa: B023
-            left.append(rows[a])
-            right.append(rows[b])
-    cat = lambda x: np.concatenate(x) if x else np.zeros(0, int)
-    return cat(left), cat(right)
+        yield from _run_pairs(hs & both, hs, d, order, rest, lambda p, q: accept(p, q, j))  # noqa: B023

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.hamming import BUCKET_ROWS, _banded, _first_two, _tasks, bucket_rows, forest, split_bits
+from weftline.llm.hamming import BUCKET_ROWS, Forest, _banded, _first_two, _tasks, bucket_rows, split_bits
 from weftline.operators.graph import connected_components
 from weftline.plans.durable import materialize
 
@@ -71,9 +71,11 @@ def _links_of(masks: list[int], d: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for band, _, h, own in _tasks(it):
-            across = lambda p, q: True if own is None else own[p] != own[q]  # noqa: B023, E731
-            p, q = _banded(h, d, m, band, list(range(band + 1, len(m))), lambda p, q, j: _first_two(h[p] ^ h[q], m, band, j) & across(p, q))  # noqa: B023
-            at, low = forest(p, q, len(h))
+            across = lambda p, q: np.ones(len(p), bool) if own is None else own[p] != own[q]  # noqa: B023, E731
+            joined = Forest(len(h))
+            for p, q in _banded(h, d, m, band, list(range(band + 1, len(m))), lambda p, q, j: _first_two(h[p] ^ h[q], m, band, j) & across(p, q)):  # noqa: B023
+                joined.add(p, q)
+            at, low = joined.stars()
             yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(h[low].view(np.int64))], ["a", "b"])
 
     return run
@@ -145,18 +147,16 @@ def _overlaps_of(masks: list[int], rank: list[np.ndarray], d: int, need: int):
                 first = np.argpartition(shared, 1, axis=1)[:, :2]
                 return ok & (np.sort(first, 1) == np.sort([band, j])).all(1)  # noqa: B023
 
-            left, right = [], []
             for j in range(k):
                 # Position filter: the second shared shingle lies later, and enough places must remain after it for ``need`` shared ones.
                 fits = np.flatnonzero((place[:, j] > place[:, band]) & (place[:, j] <= k - need + 1)) if j != band else []
-                if len(fits) > 1:
-                    p, q = _banded(h[fits], d, m, band, [j], lambda p, q, j: accept(fits[p], fits[q], j))  # noqa: B023
-                    left.append(fits[p])
-                    right.append(fits[q])
-            if left:
-                p, q = np.concatenate(left), np.concatenate(right)
-                ev, tr = np.where(side[p], p, q), np.where(side[p], q, p)
-                yield pa.RecordBatch.from_arrays([pa.array(h[ev].view(np.int64)), pa.array(h[tr].view(np.int64))], ["he", "ht"])
+                if len(fits) < 2:
+                    continue
+                for p, q in _banded(h[fits], d, m, band, [j], lambda p, q, j: accept(fits[p], fits[q], j)):  # noqa: B023
+                    if len(p):
+                        p, q = fits[p], fits[q]
+                        ev, tr = np.where(side[p], p, q), np.where(side[p], q, p)
+                        yield pa.RecordBatch.from_arrays([pa.array(h[ev].view(np.int64)), pa.array(h[tr].view(np.int64))], ["he", "ht"])
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from weftline.llm import designs, leakage, near_images, packing, splits, subset, truncation
+from weftline.llm.oracles import SQL
 
 #: Pairs that p1_subset chooses.
 SUBSET = 1000
@@ -33,4 +34,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return SQL
