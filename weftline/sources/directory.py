@@ -44,21 +44,29 @@ def probe_headers(df: DataFrame, content: str = "content") -> DataFrame:
     return d.withColumn("width", F.col("__s.width")).withColumn("height", F.col("__s.height")).withColumn("corrupt", F.col("width") < 0).drop("__s")
 
 
-def scan_frames(spark: SparkSession, root: str, branches: dict[str, str], pattern: str = "*.webp") -> DataFrame:
+def scan_frames(spark: SparkSession, root: str, branches: dict[str, str], pattern: str = "*.webp", inventory: DataFrame | None = None) -> DataFrame:
     """One row per frame below ``root/category/folder/branch/``: ids, branch, order, size of file and picture.
 
     ``branches``: folder name -> branch name. Files elsewhere are left out. Bytes are read for the header only.
+    Spark's file sources skip files of zero length; an ``inventory`` of the lake (``rel_path``, ``length``, as object
+    stores give one) adds those as corrupt frames.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
-    # Paths come as URIs; the root is cut at its last occurrence as text.
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^.*?" + _escaped(root.rstrip("/")) + "/", "")
-    parts = F.split(rel, "/")
-    rows = files.select(nfc(rel).alias("rel_path"), F.col("length").alias("file_size"), "content", parts.alias("p")).filter(F.size("p") == 4)
+    rows = files.select(nfc(_relative("path", root)).alias("rel_path"), F.col("length").alias("file_size"), "content")
+    if inventory is not None:
+        have = rows.select(F.col("rel_path").alias("__r"))
+        more = inventory.select(nfc(F.col("rel_path")).alias("rel_path"), F.col("length").cast("long").alias("file_size"), F.lit(None).cast("binary").alias("content"))
+        rows = rows.unionByName(more.join(have, F.col("rel_path") == F.col("__r"), "left_anti"))
+    p = F.split("rel_path", "/")
     names = F.create_map(*[F.lit(nfc_text(x)) for kv in branches.items() for x in kv])
-    rows = rows.withColumn("branch", F.try_element_at(names, F.split("rel_path", "/")[2])).filter("branch is not null")
-    folder = F.concat_ws("/", F.split("rel_path", "/")[0], F.split("rel_path", "/")[1])
-    rows = rows.withColumn("sku_id", short_id(folder)).withColumn("image_id", short_id("rel_path"))
-    return order_assets(probe_headers(rows).drop("content", "p"))
+    rows = rows.filter(F.size(p) == 4).withColumn("branch", F.try_element_at(names, p[2])).filter("branch is not null")
+    rows = rows.withColumn("sku_id", short_id(F.concat_ws("/", p[0], p[1]))).withColumn("image_id", short_id("rel_path"))
+    return order_assets(probe_headers(rows).drop("content"))
+
+
+def _relative(path: str, root: str):
+    """Path below the root; file sources give URIs."""
+    return F.regexp_replace(F.url_decode(F.regexp_replace(path, r"\+", "%2B")), r"^.*?" + _escaped(root.rstrip("/")) + "/", "")
 
 
 def nfc_text(x: str) -> str:
@@ -76,7 +84,7 @@ def _escaped(x: str) -> str:
 def scan_items(spark: SparkSession, root: str, info: str = "info.csv") -> DataFrame:
     """One row per item folder that has an info file: ``sku_id``, ``rel_dir``, ``category_raw``, ``folder``."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", info).load(root)
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^.*?" + _escaped(root.rstrip("/")) + "/", "")
+    rel = _relative("path", root)
     rows = files.select(nfc(rel).alias("r")).withColumn("p", F.split("r", "/")).filter(F.size("p") == 3)
     rows = rows.select(F.concat_ws("/", F.col("p")[0], F.col("p")[1]).alias("rel_dir"), F.col("p")[0].alias("category_raw"), F.col("p")[1].alias("folder"))
     return rows.withColumn("sku_id", short_id("rel_dir"))
@@ -88,7 +96,7 @@ def read_info(spark: SparkSession, root: str, info: str = "info.csv") -> DataFra
     Lines are key, value; a value cut by commas is joined again; the header ``key`` and lines without a value are left out.
     """
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", info).option("wholetext", True).text(root).select("value", F.col("_metadata.file_path").alias("path"))
-    rel = F.regexp_replace(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"^.*?" + _escaped(root.rstrip("/")) + "/", "")
+    rel = _relative("path", root)
     rows = lines.select(nfc(F.regexp_replace(rel, "/[^/]*$", "")).alias("rel_dir"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")).alias("pos", "line"))
     cells = rows.filter(F.instr("line", ",") > 0).select("rel_dir", "pos", F.trim(F.substring_index("line", ",", 1)).alias("key"), F.trim(F.regexp_replace("line", r"^[^,]*,", "")).alias("value"))
     clean = cells.withColumn("value", F.regexp_replace(F.regexp_replace("value", r'^"(.*)"$', "$1"), '""', '"'))
