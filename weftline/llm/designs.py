@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.components import hash_to_min
 
-_BLANKS = r"[\s  -​ ⁠　﻿]+"
+_BLANKS = r"[\s\u00A0\u2000-\u200B\u202F\u2060\u3000\uFEFF]+"
 
 
 def design_spelling(c: Column | str) -> Column:

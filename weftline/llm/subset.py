@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from weftline.plans.durable import materialize
 
 #: Rows chosen in one round of the tournament, and the most group subspaces.
-ROUND, SUBSPACES = 128, 64
+ROUND, SUBSPACES = 256, 64
 
 
 def _mix(x: np.ndarray) -> np.ndarray:

@@ -16,6 +16,8 @@ from weftline.plans.durable import materialize
 
 #: Numbers of last words whose continuation in all texts is counted; the longest one seen often enough decides.
 CONTEXTS = (1, 2, 3, 4, 5, 7, 10)
+#: Contexts for which words that begin with the last word are counted too.
+BEGUN = (2, 3)
 #: Times a context must occur elsewhere before it decides.
 SUPPORT = 3
 #: Share of ends after a context below which a text stopped there is cut; the second for texts at an exposed limit.
@@ -63,7 +65,7 @@ def _last_tokens(core: str) -> list[str]:
 
 
 def _contexts(h: np.ndarray, end: np.uint64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each context length: (length, hash at every place, whether the context lies inside one sentence, its start mark included)."""
+    """For each context length: (length, hash at every place, to be mixed with the length, whether the context lies inside one sentence, its start mark included)."""
     n = len(h)
     at = np.arange(n)
     since = at - np.maximum.accumulate(np.where(h == end, at, -1))
@@ -73,7 +75,7 @@ def _contexts(h: np.ndarray, end: np.uint64) -> Iterator[tuple[int, np.ndarray,
             acc[q - 1 :] += h[: n - q + 1] * power
             power = power * np.uint64(BASE)
             if q in CONTEXTS:
-                yield q, _mixed(acc, q), (since >= q - 1) & (since > 0) & (at >= q - 1)
+                yield q, acc, (since >= q - 1) & (since > 0) & (at >= q - 1)
 
 
 def _statistics(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,20 +102,21 @@ def _statistics(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
         for q, k, ok in _contexts(h, end):
             at = np.flatnonzero(ok & inner)
-            u, first, inv = np.unique(k[at], return_index=True, return_inverse=True)
+            u, first, inv = np.unique(_mixed(k[at], q), return_index=True, return_inverse=True)
             n = np.bincount(inv, minlength=len(u))
             closed = np.bincount(inv, ends[at].astype(float), len(u)).astype(np.int64)
             add(u, closed, n - closed, np.zeros(len(u), np.int64))
-            if q == 2:
-                before, piece, times = [], [], []
+            if q in BEGUN:
+                rest, piece, times = [], [], []
                 for p, m in zip(at[first].tolist(), n.tolist()):
                     w = words[p]
                     if w > "\x02" and w[0].isalpha():
-                        before += [p - 1] * (len(w) - 1)
+                        rest += [p] * (len(w) - 1)
                         piece += [hashes[w[:j]] for j in range(1, len(w))]
                         times += [m] * (len(w) - 1)
-                if before:
-                    pk = _pair(h[before], np.array(piece, np.uint64))
+                if rest:
+                    with np.errstate(over="ignore"):
+                        pk = _mixed(k[rest] - h[rest] + np.array(piece, np.uint64), q)
                     zero = np.zeros(len(pk), np.int64)
                     add(pk, zero, zero, np.array(times, np.int64))
         k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -123,13 +126,8 @@ def _statistics(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _mixed(acc: np.ndarray, q: int) -> np.ndarray:
-    return (acc ^ (acc >> np.uint64(29))) * np.uint64(2 * q + 0x9E3779B97F4A7C01)
-
-
-def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a context of two words, as ``_contexts`` makes it."""
     with np.errstate(over="ignore"):
-        return _mixed(word + before * np.uint64(BASE), 2)
+        return (acc ^ (acc >> np.uint64(29))) * np.uint64(2 * q + 0x9E3779B97F4A7C01)
 
 
 def _tails(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +142,7 @@ def _tails(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row: list[tuple] = []
             if len(w) > 1 and w[-1] != _END:
                 h = hashes.of(w)
-                row = [(q, int(k[-1:].view(np.int64)[0])) for q, k, ok in _contexts(h, end) if ok[-1]]
+                row = [(q, int(_mixed(k[-1:], q).view(np.int64)[0])) for q, k, ok in _contexts(h, end) if ok[-1]]
             is_open.append(bool(row))
             keys.append([k for _, k in row])
             sizes.append([q for q, _ in row])
@@ -222,8 +220,8 @@ def truncated_documents(documents: DataFrame, doc: str = "doc_id", text: str = "
     forms; per source and measure, lengths at which unfinished texts pile up are exposed
     as hidden limits. Then endings are inspected: marks that a loss leaves are
     taken off, and a text without a sentence end is held against all texts.
-    It stops inside a word if after the same word the corpus has far more longer words that begin with its
-    last word than that word itself; it stops inside a sentence if after its
+    It stops inside a word if after the same one or two words the corpus has far more longer words that
+    begin with its last word than that word itself; it stops inside a sentence if after its
     last words (the longest of 1 to 10 words that occur ``SUPPORT`` times elsewhere) sentences
     hardly ever end. Ends without punctuation count as ends when other, different texts end so
     too; copies count once. Texts at an exposed limit need clearer proof of being complete, and are
@@ -242,7 +240,7 @@ def truncated_documents(documents: DataFrame, doc: str = "doc_id", text: str = "
     asked = open_.select("own", F.explode(F.arrays_zip("sizes", "keys")).alias("x")).select("own", F.col("x.sizes").alias("q"), F.col("x.keys").alias("key")).distinct()
     met = asked.join(known.filter("d > 0"), F.col("key") == F.col("k"))
     elsewhere = F.col("e") + F.col("c") + F.col("d") - 1
-    inside_word = F.max((F.col("q") == 2) & (F.col("l") >= 4 * (F.col("e") + F.col("c") + 1)) & (F.col("l") > F.col("d")))
+    inside_word = F.max(F.col("q").isin(*BEGUN) & (F.col("l") >= 4 * (F.col("e") + F.col("c") + 1)) & (F.col("l") > F.col("d")))
     longest = F.max(F.when(elsewhere >= SUPPORT, F.struct("q", ((F.col("e") + F.col("d") - 1) / elsewhere).alias("ends"))))
     verdict = met.groupBy(F.col("own").alias("o")).agg(inside_word.alias("inside_word"), longest.alias("longest"))
     at_limit = open_.select("doc_id", "source", F.posexplode("lengths").alias("m", "length"))
