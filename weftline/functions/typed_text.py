@@ -13,7 +13,7 @@ YES = ["true", "1", "1.0", "да", "yes", "есть", "имеется"]
 NO = ["false", "0", "0.0", "нет", "no", "нету", "отсутствует"]
 NO_VALUE = ["", "-", "–", "—", "−", "n/a", "na", "неизвестно", "не известно", "не указано", "не указан", "не указана", "нет данных", "unknown", "none", "null"]
 
-_BLANK = r"\s  -​ ⁠　﻿"
+_BLANK = r"\s\u00A0\u2000-\u200B\u202F\u2060\u3000\uFEFF"
 _EDGE = rf"^[{_BLANK}]+|[{_BLANK}]+$"
 _NUMBER = rf"^([+-]?\d+(?:[{_BLANK}]+\d+)*(?:[.,]\d+)?(?:[eE][+-]?\d+)?)[{_BLANK}]*(?:[\p{{L}}°%$€₽][^\d,;]*)?$"
 
