@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.ids import leading_number
+from weftline.operators.ranking import global_index
+from weftline.plans.durable import materialize
 
 
 def order_assets(df: DataFrame, item: str = "sku_id", branch: str = "branch", path: str = "rel_path", product: str = "product") -> DataFrame:
     """``order_idx`` (from 0) and ``is_last_product`` of every frame of an item's branch.
 
-    Frames are ordered by the number their file name starts with, then by name, then by path. An
-    item's branch is one window; it is as large as the folder of one item.
+    Frames are ordered by the number their file name starts with, then by name, then by path. The
+    order is global and range-partitioned, and each branch's first and last places are aggregates, so an
+    item with a third of all frames isn't one window. NULL items and branches are groups of their own.
     """
     name = F.element_at(F.split(F.col(path), "/"), -1)
-    keys = df.withColumn("__n", leading_number(name)).withColumn("__f", name)
-    up = Window.partitionBy(item, branch).orderBy("__n", "__f", path)
-    down = Window.partitionBy(item, branch).orderBy(F.desc("__n"), F.desc("__f"), F.desc(path))
-    out = keys.withColumn("order_idx", F.row_number().over(up) - 1)
-    last = (F.row_number().over(down) == 1) & F.coalesce(F.col(branch) == product, F.lit(False))
-    return out.withColumn("is_last_product", last).drop("__n", "__f")
+    rows = materialize(global_index(df.withColumn("__n", leading_number(name)).withColumn("__f", name), [item, branch, "__n", "__f", path], "__i"), "ordered")
+    ends = rows.groupBy(F.col(item).alias("__a"), F.col(branch).alias("__b")).agg(F.min("__i").alias("__lo"), F.max("__i").alias("__hi"))
+    out = rows.join(ends, F.col(item).eqNullSafe(F.col("__a")) & F.col(branch).eqNullSafe(F.col("__b"))).withColumn("order_idx", (F.col("__i") - F.col("__lo")).cast("int"))
+    last = (F.col("__i") == F.col("__hi")) & F.coalesce(F.col(branch) == product, F.lit(False))
+    return out.withColumn("is_last_product", last).drop("__n", "__f", "__i", "__a", "__b", "__lo", "__hi")
 
 
 def count_variants(df: DataFrame, design: str = "design_id", out: str = "design_variants") -> DataFrame:

@@ -76,18 +76,17 @@ def threshold_sweep(df: DataFrame, positive: str, score: str, steps: int = 40, l
     rows = df.select(F.col(positive).cast("boolean").alias("p"), known(score).alias("s")).filter("p is not null and s is not null")
     at = [last * i / (steps - 1) for i in range(steps)]
     t = {r["q"]: r["value"] for r in exact_quantiles(rows, "s", at).collect()}
-    spark = df.sparkSession
-    points = spark.createDataFrame([(i, float(t[q])) for i, q in enumerate(at) if q in t], "step int, threshold double")
-    values = sorted(r["threshold"] for r in points.collect())
-    passed = F.aggregate(F.array(*[F.lit(v) for v in values]), F.lit(0), lambda n, v: n + F.when(F.col("s") >= v, 1).otherwise(0)) if values else F.lit(0)
-    by = rows.groupBy(passed.alias("n")).agg(F.sum(F.col("p").cast("long")).alias("pos"), F.count(F.lit(1)).alias("all"))
-    ranked = points.withColumn("need", F.aggregate(F.array(*[F.lit(v) for v in values]), F.lit(0), lambda n, v: n + F.when(F.col("threshold") >= v, 1).otherwise(0)) if values else F.lit(0))
-    both = ranked.join(F.broadcast(by), F.lit(True))  # at most steps x (steps + 1) rows
-    tp = F.sum(F.when(F.col("n") >= F.col("need"), F.col("pos")).otherwise(0))
-    kept = F.sum(F.when(F.col("n") >= F.col("need"), F.col("all")).otherwise(0))
-    total = F.sum("pos")
-    out = both.groupBy("step", "threshold").agg(kept.alias("kept"), tp.alias("tp"), total.alias("pos")).filter("tp > 0")
-    return out.select("step", "threshold", "kept", (F.col("tp") / F.col("kept")).alias("precision"), (F.col("tp") / F.col("pos")).alias("recall"))
+    points = [(i, t[q]) for i, q in enumerate(at) if q in t]
+    values = sorted(v for _, v in points)
+    place = F.aggregate(F.array(*[F.lit(v) for v in values]), F.lit(0), lambda n, v: n + F.when(F.col("s") >= v, 1).otherwise(0)) if values else F.lit(0)
+    by = rows.groupBy(place.alias("n")).agg(F.sum(F.col("p").cast("long")).alias("pos"), F.count(F.lit(1)).alias("all")).collect()  # at most steps + 1 rows
+    total, out = sum(r["pos"] for r in by), []
+    for i, v in points:
+        need = sum(v >= x for x in values)
+        tp, kept = (sum(r[c] for r in by if r["n"] >= need) for c in ("pos", "all"))
+        if tp:
+            out.append((i, float(v), kept, tp / kept, tp / total))
+    return df.sparkSession.createDataFrame(out, "step int, threshold double, kept long, precision double, recall double")
 
 
 def filter_quality(marked: DataFrame, positive: str, score: str, threshold: float) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions.ids import hash_rank, pair_id
 from weftline.functions.nulls import known
 from weftline.operators.matching import quantile
+from weftline.operators.ranking import global_index
 
 # Calibrated thresholds of the cascade.
 MIN_TORSO, MIN_AREA, MIN_SIM, COLOUR_DROP, MIN_WHITE = 0.20, 0.05, 0.30, 0.45, 0.25
@@ -87,7 +88,7 @@ def select_pairs(pairs: DataFrame, arm: str, split: str = "train", clean: float
     kept = wild.filter(F.coalesce(known("colour_rank") >= t, F.lit(False))) if t is not None else wild.limit(0)
     if arm == "studio_random":
         n = kept.count()
-        kept = wild.orderBy(hash_rank(key, seed), key).limit(n)
+        kept = global_index(wild.withColumn("__h", hash_rank(key, seed)), ["__h", key], "__i").filter(F.col("__i") < n).drop("__h", "__i")
     return studio.unionByName(kept)
 
 

@@ -82,13 +82,11 @@ def exact_quantiles(df: DataFrame, value: str, at: list[float], group: list[str]
     skipped; a group without values has no rows.
     """
     group = group or []
-    spark = df.sparkSession
     known = df.select(*group, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("__v")).filter("__v is not null")
     rows = materialize(global_index(known, [*group, "__v"], "__i"), "ordered")
     size = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
-    points = spark.createDataFrame([(float(q),) for q in at], "q double")
     place = F.col("q") * (F.col("__n") - 1)
-    spots = size.crossJoin(F.broadcast(points)) if group else size.filter("__n > 0").join(F.broadcast(points))
+    spots = size.filter("__n > 0").withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in at])))
     spots = spots.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], "q", (place - F.floor(place)).alias("__w"), F.explode(F.array_distinct(F.array(F.floor(place) + F.col("__first"), F.ceil(place) + F.col("__first")))).alias("__at"))
     hit = spots.join(rows.select("__i", "__v"), F.col("__at") == F.col("__i"))
     out = hit.groupBy(*[F.col(f"__g{k}").alias(g) for k, g in enumerate(group)], "q").agg((F.min("__v") + F.max("__w") * (F.max("__v") - F.min("__v"))).alias("value"))
