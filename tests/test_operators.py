@@ -230,6 +230,14 @@ def test_paired_and_bootstrap(spark):
     assert p["ci_low"] < out["x"]["mean"] < p["ci_high"]
 
 
+def test_signed_rank(spark):
+    a = spark.createDataFrame([(i, 0.0) for i in range(12)], "k long, m double")
+    b = spark.createDataFrame([(i, float([0, 1, 1, 2, -1, 3, 4, 5, -2, 6, 7, 8][i])) for i in range(12)], "k long, m double")
+    r = stats.signed_rank(a, b, "k", "m").first()
+    assert (r["n"], r["w_plus"]) == (11, 66 - 2 - 4.5) and r["z"] == pytest.approx((59.5 - 33) / math.sqrt(126.5 - 30 / 48)) and 0 < r["p"] < 0.05
+    assert tuple(stats.signed_rank(a, a, "k", "m").first()) == (0, 0.0, None, None)
+
+
 def test_trend_and_rolling(spark):
     log = spark.createDataFrame([(i, 10 - i / 100 + (i % 3) / 10) for i in range(600)], "step long, loss double")
     r = stats.run_trend(log, ["step"], "step", "loss").first()

@@ -188,6 +188,9 @@ SQL = {
     "metrics_mean": f"with {PAIRS} select branch, round(avg(area_frac), 6) area_frac, round(avg(torso_min), 6) torso_min, round(avg(garment_sim), 6) garment_sim from pairs group by 1",
     "paired_compare": f"with {RUNS} select count(*) pairs, round(avg(d), 6) mean_diff, round(avg((d > 0)::int), 6) share_b_higher from ab",
     "compare_by_category": f"with {RUNS} select category, count(*) pairs, round(avg(d), 6) mean_diff, round(avg((d > 0)::int), 6) share_b_higher from ab group by 1",
+    "signed_rank": f"""with {RUNS}, nz as (select d, abs(d) m from ab where d <> 0), r as (select d, rank() over (order by m) + (count(*) over (partition by m) - 1) / 2.0 r from nz),
+ w as (select count(*) n, coalesce(sum(case when d > 0 then r end), 0)::double w from r), t as (select sum(c * c * c - c)::double ties from (select count(*)::double c from nz group by m))
+ select n, round(w, 3) w_plus, round((w - n * (n + 1) / 4.0) / sqrt(n * (n + 1.0) * (2 * n + 1) / 24.0 - ties / 48.0), 4) z from w, t""",
     "run_trend": """with l as (select event_id, value v, row_number() over (order by ts, event_id) - 1 i, count(*) over () n from events where value is not null), k as (select *, greatest(1, n // 10) k from l),
  a as (select count(*) as rows, avg(v) filter (where i < k) head, avg(v) filter (where i >= n - k) tail, sqrt(var_samp(v) filter (where i < k) / max(k) + var_samp(v) filter (where i >= n - k) / max(k)) error, regr_slope(v, event_id::double) * 10000 s from k)
  select rows, round(head, 6) head, round(tail, 6) tail, round(tail - head, 6) change, round(error, 6) error, round(s, 6) slope_10k, abs(tail - head) > 2 * error significant from a""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,7 +90,12 @@ def collect_signals(spark: SparkSession, roots: Roots) -> DataFrame:
 
 
 def run_one_stage(spark: SparkSession, roots: Roots, stage: str, function, shard: int = 0, shards: int = 1, overwrite: bool = False, limit: int | None = None) -> DataFrame:
-    """Compute a stage for the pending rows of a shard and append it; returns the rows that lack an input."""
+    """Compute a stage for the pending rows of a shard and append it; returns the rows that lack an input.
+
+    A stage folder inside a repository is refused: its files would be taken for sources.
+    """
+    if os.path.exists(f"{roots.need('stages')}/.git"):
+        raise ValueError("the stages root is a repository")
     rows = stages.working_set(read_table(spark, roots.table("manifest_images.parquet")), read_table(spark, roots.table("manifest_sku.parquet")))
     try:
         done = spark.read.parquet(roots.stage(stage)).select("image_id")
