@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.ids import hash_rank
-from weftline.operators.ranking import salted_row_number  # noqa: F401  (re-exported for callers that need unordered ranks)
 from weftline.operators.ranking import global_index
 from weftline.plans.bounded import small_side
 

@@ -27,7 +27,7 @@ def typed_cells(rows: DataFrame, dictionary: DataFrame) -> DataFrame:
     keys = dictionary.select(folded(F.col("spelling")).alias("k"), "attr_name", "value_type").distinct()
     known = rows.withColumn("key", folded(F.col("attribute"))).join(small_side(keys), F.col("key") == F.col("k")).filter(has_value(F.col("value")))
     slots = [F.when(F.col("value_type") == t, READERS[t](F.col("value"))).alias(s) for t, s in _SLOT.items()]
-    read = known.select("entity", "attr_name", *slots).filter(F.coalesce(*[F.col(s).isNotNull().cast("int") * 0 + F.when(F.col(s).isNotNull(), 1) for s in _SLOT.values()]).isNotNull())
+    read = known.select("entity", "attr_name", *slots).filter(" or ".join(f"{s} is not null" for s in _SLOT.values()))
     both = [f(F.col(s)).alias(f"{m}_{s}") for s in _SLOT.values() for m, f in (("lo", F.min), ("hi", F.max))]
     one = read.groupBy("entity", "attr_name").agg(*both)
     keep = [F.col(f"lo_{s}").alias(s) if t == "string" else F.when(F.col(f"lo_{s}").eqNullSafe(F.col(f"hi_{s}")), F.col(f"lo_{s}")).alias(s) for t, s in _SLOT.items()]
