@@ -78,13 +78,29 @@ def _contexts(h: np.ndarray, end: np.uint64) -> Iterator[tuple[int, np.ndarray,
                 yield q, acc, (since >= q - 1) & (since > 0) & (at >= q - 1)
 
 
+def _portions(it: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[list[str]]:
+    """Texts in lists of about ``chars`` characters, so that memory follows neither batch size nor long texts' number."""
+    held: list[str] = []
+    size = 0
+    for b in it:
+        for i in range(b.num_rows):
+            t = b.column(0)[i].as_py()
+            held.append(t)
+            size += len(t)
+            if size >= chars:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
 def _statistics(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch, summed: how often a context is followed by a sentence end (e) or goes on (c), and how often its last word goes on as a longer word (l)."""
+    """Per portion of texts, summed: how often a context is followed by a sentence end (e) or goes on (c), and how often its last word goes on as a longer word (l)."""
     hashes = WordHashes()
-    for b in it:
+    for texts in _portions(it):
         words: list[str] = []
         last: list[int] = []
-        for t in b.column(0).to_pylist():
+        for t in texts:
             words += tokens(core_text(t))
             last.append(len(words) - 1)
         end = np.uint64(hashes[_END])
