@@ -36,10 +36,9 @@ def connected_components(edges: DataFrame, src: str, dst: str, vertices: DataFra
     """
     e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).filter("u is not null and v is not null and u <> v")
     e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    # Two pairs of steps per written table: half the jobs, at most one pair too many.
     cur, seen = materialize_marked(e, ["u", "v"], "cc")
     for _ in range(max_rounds):
-        nxt, now = materialize_marked(_small_star(_large_star(_small_star(_large_star(cur)))), ["u", "v"], "cc")
+        nxt, now = materialize_marked(_small_star(_large_star(cur)), ["u", "v"], "cc")
         release(cur)
         cur = nxt
         if now == seen:
