@@ -67,3 +67,22 @@ def test_copies_are_no_proof(spark):
     rows = [r for r in rows if r[2] == "s2"] + [(9000 + i, "I ordered it for a wa", "s1") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert all(r["truncated"] for r in truncated_documents(df).filter("doc_id >= 9000").collect())
+
+
+def test_copies_make_no_limit(spark):
+    rows, _ = corpus(300, 2)
+    rows = [r for r in rows if r[2] == "s1"] + [(9000 + i, " ".join(f"{a}{b}ilo" for a in "bdfgklmnprst" for b in "aeiouy"), "s1") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    size = len(rows[-1][1])
+    assert not [r for r in exposed_limits(text_tails(df)).collect() if r["length"] == size]
+    assert not any(r["truncated"] for r in truncated_documents(df).filter("doc_id >= 9000").collect())
+
+
+def test_copies_hide_no_limit(spark):
+    cut = [(i, f"{i:03d} " + "Wash it apart and dry it flat far from the radiator. " * 3, "s0") for i in range(12)]
+    cut = [(i, t[:130], s) for i, t, s in cut]
+    for size in (130, 120):  # at the limit and near it
+        hot = [(1000 + i, "x" * (size - 1) + ".", "s0") for i in range(400)]
+        df = spark.createDataFrame(cut + hot, "doc_id long, text string, source string")
+        found = {(r["measure"], r["length"]): (r["n"], r["n_open"]) for r in exposed_limits(text_tails(df)).collect()}
+        assert found.get(("chars", 130)) == (12 + (size == 130), 12)

@@ -215,13 +215,15 @@ def text_tails(documents: DataFrame, doc: str = "doc_id", text: str = "text", so
 def exposed_limits(tails: DataFrame, least: int = 4, times: float = 5.0, reach: int = 25) -> DataFrame:
     """``source``, ``measure``, ``length``, ``n``, ``n_open``: lengths at which a source piles up unfinished texts.
 
+    Counts are of different texts: copies in a source count once, before the lengths are spread out.
     A length counts as a storage limit if at least ``least`` texts have it, at least half of
     them without a sentence end, and ``times`` as many as an average length
     within ``reach`` of it. Only the table of length counts is sorted; it has at most as
     many rows per source and measure as there are lengths.
     """
     names = list(length_measures())
-    one = tails.select("source", "open", F.posexplode("lengths").alias("m", "length"))
+    texts = tails.groupBy("source", "own", "lengths").agg(F.max("open").alias("open"))
+    one = texts.select("source", "own", "open", F.posexplode("lengths").alias("m", "length")).distinct()
     n = one.groupBy("source", "m", "length").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("n_open"))
     near = Window.partitionBy("source", "m").orderBy("length").rangeBetween(-reach, reach)
     usual = (F.sum("n").over(near) - F.col("n")) / (2.0 * reach)
