@@ -38,3 +38,11 @@ def test_more_than_items(spark):
     assert sorted(Counter(r["sku_id"] for r in got).values()) == [2, 2, 3, 3]
     assert {r["pair_id"] for r in varied_subset(df, 99).collect()} == {r[0] for r in rows}
     assert varied_subset(df, 0).count() == varied_subset(df.limit(0), 5).count() == 0
+
+
+def test_each_of_many_uneven_groups_is_present(spark):
+    rows = [(f"b{i}", f"b{i}", "g0") for i in range(1500)] + [(f"s{g}", f"s{g}", f"g{g}") for g in range(1, 200)]
+    got = varied_subset(spark.createDataFrame(rows, SCHEMA), 210).collect()
+    n = Counter(r["category_group"] for r in got)
+    assert len(got) == len({r["sku_id"] for r in got}) == 210
+    assert len(n) == 200 and n["g0"] == 11

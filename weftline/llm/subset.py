@@ -12,8 +12,8 @@ from pyspark.sql import Window
 
 from weftline.plans.durable import materialize
 
-#: Rows chosen in one round of the tournament, and the most group subspaces.
-ROUND, SUBSPACES = 128, 64
+#: Rows chosen in one round of the tournament, and so the most groups and dimensions of a round.
+ROUND = 128
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -99,8 +99,10 @@ def varied_subset(df: DataFrame, k: int, key: str = "pair_id", item: str = "sku_
     subspace. In a round, partitions nominate linearly independent rows by
     pivoted QR, pairwise reductions re-pivot the nominees, and up to ``ROUND`` rows win. Then the
     chosen directions are deflated: an item that was chosen waits until
-    every other item of the same turn is. Each group still running gets an equal rank in a round,
-    so a large group can't crowd out others; rounds repeat until ``k`` records.
+    every other item of the same turn is. Each group of a round has a subspace of its own, all of equal rank,
+    so a large group can't crowd out others. If more groups are still running than a round has
+    rows, those with the fewest choices so far (then the fewest items left) take part, and the others
+    follow in later rounds; rounds repeat until ``k`` records. An item chosen for several groups goes to the first of them in that order.
 
     Records with the same item and group have the same direction, so the tournament
     runs on their pre-aggregated counts, never on the records of a large item; the records behind a choice are the
@@ -119,16 +121,12 @@ def varied_subset(df: DataFrame, k: int, key: str = "pair_id", item: str = "sku_
     left = {}  # class -> choices so far; at most k entries over all rounds
     turns: dict[int, int] = {}
     chosen: list[tuple[int, int, int]] = []
-    names = [r[0] for r in classes.select("group_name").distinct().orderBy("group_name").limit(SUBSPACES + 1).collect()]
-    room = F.pmod(F.xxhash64(F.coalesce("group_name", F.lit("\0"))), F.lit(SUBSPACES)).cast("int")
-    if len(names) <= SUBSPACES:
-        room = F.lit(0)
-        for i, x in enumerate(names):
-            room = F.when(F.col("group_name").eqNullSafe(F.lit(x)), i).otherwise(room)
+    served: dict[int, int] = {}  # room -> choices so far
+    room = F.xxhash64(F.coalesce("group_name", F.lit("\0")))
     # An item's records without a group share the direction of its smallest group, after those that have one.
     home = classes.filter("group_name is not null").groupBy(F.col("item").alias("hi")).agg(F.min("group_name").alias("home"))
     classes = classes.join(home, F.col("item") == F.col("hi"), "left").withColumn("late", F.col("group_name").isNull().cast("int")).withColumn("group_name", F.coalesce("group_name", "home"))
-    classes = materialize(classes.select("class", "item", "n", room.cast("int").alias("room"), "late"), "classes")
+    classes = materialize(classes.select("class", "item", "n", room.alias("room"), "late"), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     turn = 0
     while len(chosen) < min(k, total):
@@ -137,21 +135,23 @@ def varied_subset(df: DataFrame, k: int, key: str = "pair_id", item: str = "sku_
         done = spark.createDataFrame([(i,) for i, t in turns.items() if t > turn], "i long")
         open_ = classes.join(F.broadcast(state), F.col("class") == F.col("c"), "left").filter(F.col("n") > F.coalesce("used", F.lit(0)))
         open_ = open_.join(F.broadcast(done), F.col("item") == F.col("i"), "left_anti")
-        running = {r["room"]: r["items"] for r in open_.groupBy("room").agg(F.countDistinct("item").alias("items")).collect()}
+        want = min(ROUND, k - len(chosen))
+        got = spark.createDataFrame(list(served.items()), "r long, got long")
+        running = open_.groupBy("room").agg(F.countDistinct("item").alias("items")).join(F.broadcast(got), F.col("room") == F.col("r"), "left")
+        running = [r["room"] for r in running.orderBy(F.coalesce("got", F.lit(0)), "items", "room").limit(want).collect()]
         if not running:
             turn += 1
             continue
-        want = min(ROUND, k - len(chosen))
-        place = {x: i for i, x in enumerate(sorted(running))}
-        rank = max(1, -(-want // len(place)))
-        number = F.create_map(*[F.lit(x) for p in place.items() for x in p])
-        rows = open_.select("class", "item", number[F.col("room")].cast("int").alias("room"), "late")
-        won = _tournament(rows, want, rank, len(place)).select("class", "item", "late").collect()
+        rank = want // len(running)
+        number = spark.createDataFrame(list(zip(running, range(len(running)))), "r long, number int")
+        rows = open_.join(F.broadcast(number), F.col("room") == F.col("r")).select("class", "item", F.col("number").alias("room"), "late")
+        won = _tournament(rows, want, rank, len(running)).select("class", "item", "late", "room").collect()
         taken = set()
-        for r in sorted(won, key=lambda r: (r["late"], r["class"])):
+        for r in sorted(won, key=lambda r: (r["late"], r["room"], r["class"])):
             if r["item"] not in taken and len(chosen) < k:
                 taken.add(r["item"])
                 turns[r["item"]] = turn + 1
+                served[running[r["room"]]] = served.get(running[r["room"]], 0) + 1
                 chosen.append((r["class"], left.get(r["class"], 0), turn))
                 left[r["class"]] = left.get(r["class"], 0) + 1
     picks = spark.createDataFrame(chosen, "c long, at long, turn int")
