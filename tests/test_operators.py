@@ -230,6 +230,22 @@ def test_paired_and_bootstrap(spark):
     assert p["ci_low"] < out["x"]["mean"] < p["ci_high"]
 
 
+def test_registered_intervals_are_whole(spark):
+    import numpy as np
+
+    from weftline import queries
+
+    d = "/root/testdata/sf0.001"
+    got = {r["l_linestatus"]: r for r in queries.queries()["bootstrap_ci"](spark, d).collect()}
+    for run in queries._runs(spark, d):
+        x = run.orderBy("pair_id").toPandas()
+        v = x["score"].to_numpy(float)
+        means = np.random.default_rng(0).choice(v, (5000, len(v))).mean(1)
+        r = got[x["l_linestatus"][0]]
+        assert (r["ci_low"], r["ci_high"]) == pytest.approx(tuple(np.quantile(means, [0.025, 0.975])))
+    assert {r["l_linestatus"] for r in queries.queries()["poisson_ci"](spark, d).collect()} == set(got) == {"O", "F"}
+
+
 def test_signed_rank(spark):
     a = spark.createDataFrame([(i, 0.0) for i in range(12)], "k long, m double")
     b = spark.createDataFrame([(i, float([0, 1, 1, 2, -1, 3, 4, 5, -2, 6, 7, 8][i])) for i in range(12)], "k long, m double")

@@ -173,7 +173,12 @@ def _letterbox(s, d):
 
 def _bootstrap(s, d):
     a, b = _runs(s, d)
-    return stats.bootstrap_interval(a.unionByName(b), "pair_id", "score", ["l_linestatus"], n_boot=200)
+    return stats.bootstrap_interval(a.unionByName(b), "pair_id", "score", ["l_linestatus"])
+
+
+def _poisson(s, d):
+    a, b = _runs(s, d)
+    return stats.poisson_interval(a.unionByName(b), "pair_id", "score", ["l_linestatus"])
 
 
 @F.pandas_udf(T.BinaryType())
@@ -330,7 +335,7 @@ def queries():
         "paired_compare": lambda s, d: stats.paired_compare(*_runs(s, d), "pair_id", "score").select("pairs", _r("mean_diff").alias("mean_diff"), _r("share_b_higher").alias("share_b_higher")),
         "compare_by_category": lambda s, d: stats.paired_compare(*_runs(s, d), "pair_id", "score", ["category"]).select("category", "pairs", _r("mean_diff").alias("mean_diff"), _r("share_b_higher").alias("share_b_higher")),
         "bootstrap_ci": _bootstrap,
-        "poisson_ci": lambda s, d: stats.poisson_interval(_runs(s, d)[0], "pair_id", "score", ["l_linestatus"], 50),
+        "poisson_ci": _poisson,
         "signed_rank": lambda s, d: stats.signed_rank(*_runs(s, d), "pair_id", "score").select("n", _r("w_plus", 3).alias("w_plus"), _r("z", 4).alias("z")),
         "run_trend": lambda s, d: stats.run_trend(_t(s, d, "events"), ["ts", "event_id"], "event_id", "value").select("rows", *[_r(c).alias(c) for c in ("head", "tail", "change", "error", "slope_10k")], "significant"),
         "rolling_mean": lambda s, d: stats.rolling_mean(_t(s, d, "events").select("event_id", "ts", "value"), ["ts", "event_id"], "value", block=20_000).select("event_id", _r("rolling").alias("rolling")),
