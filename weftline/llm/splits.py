@@ -74,7 +74,8 @@ def assign_splits(items: DataFrame, links: DataFrame, shares: Mapping[str, float
     leave (default train .7, val .15, test .15). Which sizes go to which
     split is solved on the histogram of group sizes (at most sqrt(2 * items)
     rows); groups of one size are told apart by a salted rank, so even
-    millions of single-item groups are never sorted in one task. A
+    millions of single-item groups are never sorted in one task. For a split of more than
+    ``MAX_BITS`` items large groups are placed largest first before the exact solution, so its total need not be the closest. A
     group larger than a split's share stays in the first split. Empty tables give no rows.
     """
     shares = dict(shares or {"train": 0.7, "val": 0.15, "test": 0.15})
