@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from weftline.llm import hamming
-from weftline.llm.near_images import fast_similarity_sketch, found_overlaps, hash_overlaps, near_hash_links, near_image_groups, overlap_report, sketch_bands
+from weftline.llm.near_images import band_keys, fast_similarity_sketch, found_overlaps, hash_overlaps, near_hash_links, near_image_groups, overlap_report, sketch_hashes
 
 
 def planted(n, seed, spread=6):
@@ -49,12 +49,53 @@ def test_forest():
     assert [x.tolist() for x in f.stars()] == [[2, 4, 5], [1, 1, 1]]
 
 
-def test_sketch_fills_every_coordinate_and_bands_cover_all_bits():
+def test_sketch_fills_every_coordinate():
     assert (fast_similarity_sketch(np.array([7]), 50) == 0).all()
     assert (fast_similarity_sketch(np.arange(9), 64) >= 0).all()
     assert (fast_similarity_sketch(np.array([], np.uint64), 4) == -1).all()
-    m = sketch_bands(5)
-    assert len(m) == 7 and sum(m) == 2**64 - 1 and all(bin(x).count("1") in (9, 10) for x in m)
+
+
+def test_sketches_of_many_hashes_are_those_of_one():
+    h = planted(20, 5)
+    many = sketch_hashes(h, 48, 3)
+    for x, won in zip(h.tolist(), many):
+        elements = np.array([2 * p + (x >> p & 1) for p in range(64)])
+        assert (elements[fast_similarity_sketch(elements, 48, 3)] == won).all()
+
+
+def test_recall_of_the_bands():
+    rnd = np.random.default_rng(8)
+    a = rnd.integers(0, 2**64, 20_000, dtype=np.uint64)
+    b = a.copy()
+    for p in np.argpartition(rnd.random((len(a), 64)), 5, axis=1)[:, :5].astype(np.uint64).T:
+        b ^= np.uint64(1) << p
+    assert (np.bitwise_count(a ^ b) == 5).all()
+    assert (band_keys(a) == band_keys(b)).any(1).mean() >= 0.9999
+
+
+def test_chunks_hold_whole_buckets():
+    key = np.sort(np.random.default_rng(1).zipf(1.5, 5000) % 300)
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(key[s : s + 70]), pa.array(np.arange(s, min(s + 70, 5000)))], ["key", "h"]) for s in range(0, 5000, 70)]
+    chunks = list(hamming.bucket_chunks(iter(batches), 100))
+    assert np.concatenate([c[1] for c in chunks]).tolist() == list(range(5000))
+    seen = [set(c[0].tolist()) for c in chunks]
+    assert sum(map(len, seen)) == len(set(key.tolist()))
+    largest = np.unique(key, return_counts=True)[1].max()
+    assert max(len(c[0]) for c in chunks) <= 2 * (100 + largest) + 70
+
+
+@pytest.mark.parametrize("full", [2, 10, 40])
+def test_copies_of_a_hot_bucket_are_as_many_however_full(spark, full):
+    """Rows of one bucket, ``full`` limits full, get the same bounded number of copies."""
+    from pyspark.sql import functions as F
+
+    h = np.random.default_rng(full).integers(0, 2**62, 100 * full)
+    df = spark.createDataFrame([(1, int(x), 0, -1) for x in h], "key long, h long, path int, place int")
+    natural = F.array(*[F.lit(i) for i in range(8)])
+    got = hamming.refine_hot(df, natural, 5, len(h), 100)
+    assert 6 * len(h) == got.count() and got.groupBy("key").count().agg({"count": "max"}).first()[0] <= 100
 
 
 def test_sketch_estimates_similarity():
