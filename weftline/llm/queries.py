@@ -5,8 +5,8 @@ from __future__ import annotations
 from weftline.llm import designs, leakage, near_images, packing, splits, subset, truncation
 from weftline.llm.oracles import SQL
 
-#: Pairs that p1_subset chooses.
-SUBSET = 1000
+#: Share of the training pairs that p1_subset chooses.
+SUBSET_SHARE = 0.05
 
 
 def _t(spark, d, name):
@@ -15,7 +15,7 @@ def _t(spark, d, name):
 
 def queries():
     return {
-        "p1_subset": lambda s, d: subset.varied_subset(_t(s, d, "manifest_pairs"), SUBSET),
+        "p1_subset": lambda s, d: subset.varied_subset(_t(s, d, "manifest_pairs"), share=SUBSET_SHARE),
         "p2_found": lambda s, d: designs.design_groups(_t(s, d, "design_links")),
         "p2_split_groups": lambda s, d: designs.consolidated_split_groups(_t(s, d, "manifest_sku"), _t(s, d, "design_links")),
         "p3_found": lambda s, d: near_images.found_overlaps(_t(s, d, "manifest_images")),

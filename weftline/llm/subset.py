@@ -2,162 +2,205 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
-
-from weftline.plans.durable import materialize
 
-#: Rows chosen in one round of the tournament, and so the most groups and dimensions of a round.
-ROUND = 128
+from weftline.operators.ranking import salted_row_number
+from weftline.plans.bounded import small_side
+from weftline.plans.durable import materialize, release
 
+#: Rows that a tournament chooses in one round, rounds aimed at, and rows that a node holds to begin with.
+ROUND, ROUNDS, NODE = 256, 4, 4096
+#: Squared length of a row's group part beside its item part of length 1.
+GROUP_WEIGHT = 0.5
+#: Pieces into which the records of one item and group are cut for ranking.
+_PIECES = 256
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        x = (x + np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
 
+def pivoted_rows(item: np.ndarray, room: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
+    """Rows that a row-pivoted, rank-revealing QR takes first: at most ``k``, each the farthest from the span of those before; ties to the first row.
 
-def features(item: np.ndarray, room: np.ndarray, rank: int, rooms: int) -> np.ndarray:
-    """Feature rows: the item's random unit vector inside the subspace (of ``rank`` dimensions) of its group.
-
-    Rows of one item in one group are equal up to scale, so they are linearly dependent; a
-    group spans at most ``rank`` dimensions, so no group can fill a round.
+    A row is the sum of a unit direction of its item and a direction of its room with squared length ``weight``; all
+    directions are orthogonal. The factor is computed from inner products (pivoted Cholesky of the rows' Gram matrix gives the
+    pivots and the R of the QR), so dimensions may be as many as there are items. Rows of an item not taken yet
+    keep a residual of 1 or more, rows of a taken one fall below: there the rank is revealed and nothing more is taken.
     """
-    with np.errstate(over="ignore"):
-        h = _mix(item.astype(np.uint64)[:, None] + _mix(np.arange(1, rank + 1, dtype=np.uint64))[None, :])
-    u = (h >> np.uint64(11)).astype(np.float64) / (1 << 53) - 0.5
-    u /= np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-12)
-    out = np.zeros((len(item), rooms * rank))
-    cols = room[:, None] * rank + np.arange(rank)[None, :]
-    np.put_along_axis(out, cols, u, 1)
-    return out
-
-
-def pivoted_rows(a: np.ndarray, k: int, tolerance: float = 1e-6) -> np.ndarray:
-    """Rows that a row-pivoted, rank-revealing QR takes first: at most ``k``, each the farthest from the span of those before; ties to the first row."""
-    r = a.copy()
-    left = np.einsum("ij,ij->i", r, r)
-    floor = tolerance * max(1.0, float(left.max(initial=0.0)))
+    left = 1.0 + weight
+    factor = np.zeros((len(item), min(k, len(item))))
     out = []
-    for _ in range(min(k, len(r))):
-        p = int(np.argmax(left))
-        if left[p] <= floor:
+    for s in range(factor.shape[1]):
+        p = int(np.argmax(left > left.max() - 1e-9))
+        if left[p] < 1 - 1e-6:
             break
         out.append(p)
-        q = r[p] / np.sqrt(left[p])
-        dot = r @ q
-        r -= dot[:, None] * q[None, :]
-        left -= dot * dot
+        inner = (item == item[p]).astype(np.float64) + np.where(room == room[p], weight, 0.0)
+        column = (inner - factor[:, :s] @ factor[p, :s]) / np.sqrt(left[p])
+        factor[:, s] = column
+        left = left - column * column
         left[p] = -1.0
     return np.array(out, np.int64)
 
 
-def _best(t: pa.Table, k: int, rank: int, rooms: int) -> pa.Table:
-    t = t.sort_by([("room", "ascending"), ("item", "ascending"), ("late", "ascending"), ("class", "ascending")])
-    a = features(t["item"].to_numpy().view(np.uint64), t["room"].to_numpy().astype(np.int64), rank, rooms)
-    return t.take(pa.array(pivoted_rows(a, k)))
+def _best(t: pa.Table, k: int) -> pa.Table:
+    """The ``k`` pivots of a node's rows; rows beyond ``NODE`` re-pivot with the pivots so far."""
+    t = t.sort_by([("late", "ascending"), ("item", "ascending"), ("class", "ascending")])
+    best = t.slice(0, 0)
+    for s in range(0, t.num_rows, NODE):
+        rows = pa.concat_tables([best, t.slice(s, NODE)])
+        best = rows.take(pa.array(pivoted_rows(*[rows[c].to_numpy() for c in ("item", "room", "weight")], k)))
+    return best
 
 
-def _nominate(k: int, rank: int, rooms: int, block: int = 2048):
-    """A partition's nominees: each block of rows is re-pivoted together with the nominees so far."""
+def _tournament(rows: DataFrame, k: int, nodes: int, cores: int) -> DataFrame:
+    """The winners of every shard: nodes nominate, and nodes 2i and 2i + 1 of a level meet in node i of the next."""
+    schema = "class long, item long, room long, weight double, late int, shard int, node int"
+    place = "class long, item long, room long, place int"
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = None
-        for b in it:
-            for s in range(0, b.num_rows, block):
-                rows = pa.Table.from_batches([b.slice(s, block)])
-                best = _best(pa.concat_tables([best, rows]) if best is not None else rows, k, rank, rooms)
-        if best is not None:
-            yield from best.combine_chunks().to_batches()
+    def last(t: pa.Table) -> pa.Table:
+        won = _best(t, k)
+        return won.select(["class", "item", "room"]).append_column("place", pa.array(np.arange(won.num_rows), pa.int32()))
 
-    return run
+    cur = rows
+    while nodes > 1:
+        cur = cur.repartition(cores, "shard", "node").groupBy("shard", "node").applyInArrow(lambda t: _best(t, k), schema)
+        nodes = -(-nodes // 2)
+        cur = cur.withColumn("node", F.floor(F.col("node") / 2).cast("int"))
+    return cur.repartition(cores, "shard", "node").groupBy("shard", "node").applyInArrow(last, place)
+
+
+def full_turns(counts: dict[int, int], k: int) -> int:
+    """The most records that every item can give (all it has, if fewer) without exceeding ``k`` in all; ``counts``: records of an item -> items."""
+    turns, given, items = 0, 0, sum(counts.values())
+    for n in sorted(counts):
+        more = min(n - turns, (k - given) // items)
+        turns, given = turns + more, given + more * items
+        if turns < n:
+            return turns
+        items -= counts[n]
+        if not items:
+            break
+    return turns
+
+
+def _quotas(classes: DataFrame, turns: int) -> DataFrame:
+    """``classes`` with ``q``: how many of the item's first ``turns`` records each of its classes gives, as evenly as they can, those without a group last."""
+    order = Window.partitionBy("item", "late").orderBy("n", "class")
+    before, whole = order.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy("item", "late")
+    rows = classes.withColumns({"__smaller": F.coalesce(F.sum("n").over(before), F.lit(0)), "__at": F.row_number().over(order) - 1, "__m": F.count(F.lit(1)).over(whole)})
+    late = Window.partitionBy("item").orderBy("late").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("__budget", F.greatest(F.lit(0), F.lit(turns) - F.coalesce(F.sum("n").over(late), F.lit(0))))
+    left, share = F.col("__budget") - F.col("__smaller"), F.col("__m") - F.col("__at")
+    # Smallest classes first: one that fits into an even share is taken whole, and what it leaves goes to the larger ones.
+    rows = rows.withColumn("__whole", F.col("n") * share <= left)
+    taken = F.sum(F.when(F.col("__whole"), F.col("n")).otherwise(0)).over(whole)
+    fit = F.sum(F.col("__whole").cast("long")).over(whole)
+    rows = rows.withColumns({"__rest": F.col("__budget") - taken, "__open": F.col("__m") - fit, "__fit": fit})
+    even = F.floor(F.col("__rest") / F.greatest(F.col("__open"), F.lit(1))) + ((F.col("__at") - F.col("__fit")) < F.col("__rest") % F.greatest(F.col("__open"), F.lit(1))).cast("long")
+    return rows.withColumn("q", F.when(F.col("__whole"), F.col("n")).otherwise(even)).drop("__smaller", "__at", "__m", "__budget", "__whole", "__rest", "__open", "__fit")
+
+
+def _last_turn(classes: DataFrame, turns: int, k: int, items: int) -> DataFrame:
+    """``class`` of ``k`` of the items that have more than ``turns`` records, one each, chosen by tournaments in deflated rounds.
+
+    Items are dealt to shards, whose tournaments run side by side, so the number of rounds doesn't follow ``k``. After a round
+    what was chosen is projected out: an item's row is gone, and of a room from which m rows
+    were chosen the squared length w of the direction shrinks to w / (1 + m w), the part orthogonal to their span (m is
+    taken per shard). Rooms with few choices so far are therefore the farthest from the span.
+    """
+    spark = classes.sparkSession
+    cores = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    shards = max(1, -(-k // (ROUND * ROUNDS)))
+    nodes = max(1, -(-items // (shards * NODE)))
+    shard, node = F.pmod("item", F.lit(shards)).cast("int"), F.pmod(F.xxhash64("class"), F.lit(nodes)).cast("int")
+    able = classes.filter((F.col("total") > turns) & (F.col("n") > F.col("q"))).select("class", "item", "room", "late", shard.alias("shard"), node.alias("node"))
+    able = materialize(able, "able")
+    before = classes.groupBy(F.col("room").alias("r")).agg(F.sum("q").alias("m"))
+    chosen, count = [], 0
+    while count < k:
+        m, open_ = before, able
+        if chosen:
+            all_ = _union(chosen)
+            m = m.unionByName(all_.groupBy(F.col("room").alias("r")).agg(F.count(F.lit(1)).alias("m"))).groupBy("r").agg(F.sum("m").alias("m"))
+            open_ = able.join(small_side(all_.select(F.col("item").alias("i"))), F.col("item") == F.col("i"), "left_anti")
+        weight = GROUP_WEIGHT / (1 + GROUP_WEIGHT * F.coalesce("m", F.lit(0)) / shards)
+        rows = open_.join(small_side(m), F.col("room") == F.col("r"), "left").select("class", "item", "room", weight.cast("double").alias("weight"), "late", "shard", "node")
+        each = -(-min(k - count, shards * ROUND) // shards)
+        won = materialize(_tournament(rows, each, nodes, min(cores, shards * nodes)), "won")
+        n = won.count()
+        if not n:
+            break
+        if count + n > k:  # the shards' last winners are too many: some of them go, by rank
+            spare = won.filter(F.col("place") == each - 1)
+            keep = k - count - (n - spare.count())
+            kept = salted_row_number(spare, [], ["class"], "__rank").filter(F.col("__rank") < keep).drop("__rank")
+            cut = materialize(won.filter(F.col("place") < each - 1).unionByName(kept), "won")
+            release(won)
+            won, n = cut, k - count
+        chosen.append(won)
+        count += n
+    release(able)
+    return _union(chosen).select("class") if chosen else classes.select("class").limit(0)
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
-def _tournament(rows: DataFrame, k: int, rank: int, rooms: int) -> DataFrame:
-    """Nominees of all partitions, reduced pairwise: nodes 2i and 2i + 1 of a level meet in node i of the next."""
-    schema = "class long, item long, room int, late int, node int"
-    n = rows.rdd.getNumPartitions()
-    cur = rows.withColumn("node", F.pmod(F.spark_partition_id(), F.lit(n))).select("class", "item", "room", "late", "node").mapInArrow(_nominate(k, rank, rooms), schema)
-    while n > 1:
-        n = -(-n // 2)
-        cur = cur.withColumn("node", F.floor(F.col("node") / 2).cast("int"))
-        cur = cur.groupBy("node").applyInArrow(lambda t: _best(t, k, rank, rooms), schema)
-    return cur
-
-
-def varied_subset(df: DataFrame, k: int, key: str = "pair_id", item: str = "sku_id", group: str = "category_group", seed: int = 0) -> DataFrame:
-    """``k`` distinct records (all, if there are fewer) over as many items and groups as possible.
-
-    Returns ``key``, ``item``, ``group`` (trimmed, lower case), ``turn`` (how often the item was chosen before).
-    Feature rows stand for the record's item inside its group's
-    subspace. In a round, partitions nominate linearly independent rows by
-    pivoted QR, pairwise reductions re-pivot the nominees, and up to ``ROUND`` rows win. Then the
-    chosen directions are deflated: an item that was chosen waits until
-    every other item of the same turn is. Each group of a round has a subspace of its own, all of equal rank,
-    so a large group can't crowd out others. If more groups are still running than a round has
-    rows, those with the fewest choices so far (then the fewest items left) take part, and the others
-    follow in later rounds; rounds repeat until ``k`` records. An item chosen for several groups goes to the first of them in that order.
-
-    Records with the same item and group have the same direction, so the tournament
-    runs on their pre-aggregated counts, never on the records of a large item; the records behind a choice are the
-    first by hash of the key. Repeated keys count once (smallest item and group),
+def varied_subset(df: DataFrame, k: int | None = None, key: str = "pair_id", item: str = "sku_id", group: str = "category_group", seed: int = 0, share: float | None = None, split: str | None = "train", split_column: str = "split") -> DataFrame:
+    """``k`` distinct records (all, if there are fewer) over as many items and groups as possible: ``key``, ``item``, ``group`` (trimmed, lower case).
+
+    ``share`` may give the size as a share of the distinct records instead. Only records of ``split`` are chosen from (labels are
+    compared without case and outer blanks); None takes all.
+
+    Every item gives as many records as all items can give (``full_turns``; mostly 0), evenly over its groups; who gives one more is decided
+    by tournaments of rank-revealing QR on rows that stand for the record's item and group. Nodes nominate rows that lie farthest from the span of
+    those before, pairwise reductions re-pivot the nominees, and the winners are projected out (deflated) before the next round: no item comes
+    twice before all others, and a group is the less near the more was chosen from it, so a large group can't
+    crowd out others and every group is present as soon as ``k`` allows.
+
+    Records with the same item and group are one row, so tournaments run on their pre-aggregated counts, never on the records of a large item; the
+    records behind a choice are the first by hash of the key, ranked in pieces. Repeated keys count once (smallest item and group),
     NULL keys are dropped, NULL items and groups are an item and a group of their own,
-    but an item's records with a group come before those without. The driver
-    holds at most ``k`` choices. Empty input or ``k`` of 0 gives no rows.
+    but an item's records with a group come before those without. Choices are written tables; the driver holds only the numbers of items by their
+    number of records (at most sqrt(2 * records)). Empty input or ``k`` of 0 gives no rows.
     """
-    spark = df.sparkSession
     clean = F.nullif(F.lower(F.trim(F.col(group))), F.lit(""))
-    src = df.select(F.col(key).alias("key"), F.col(item).cast("string").alias("item_name"), clean.alias("group_name")).filter("key is not null")
+    rows = df if split is None else df.filter(F.lower(F.trim(F.col(split_column))) == split)
+    src = rows.select(F.col(key).alias("key"), F.col(item).cast("string").alias("item_name"), clean.alias("group_name")).filter("key is not null")
     one = src.groupBy("key").agg(F.min(F.struct(F.col("item_name").isNull().alias("a"), "item_name", F.col("group_name").isNull().alias("b"), "group_name")).alias("m")).select("key", "m.item_name", "m.group_name")
-    hashed = one.withColumn("class", F.xxhash64(F.lit(seed), F.coalesce("item_name", F.lit("\0")), F.coalesce("group_name", F.lit("\0")))).withColumn("item", F.xxhash64(F.lit(seed), F.coalesce("item_name", F.lit("\0"))))
+    name = lambda c: F.coalesce(c, F.lit("\0"))
+    hashed = one.withColumns({"class": F.xxhash64(F.lit(seed), name("item_name"), name("group_name")), "item": F.xxhash64(F.lit(seed), name("item_name")), "h": F.xxhash64(F.lit(seed), "key")})
     records = materialize(hashed, "records")
-    classes = materialize(records.groupBy("class", "item", "group_name").agg(F.count(F.lit(1)).alias("n")), "classes")
-    left = {}  # class -> choices so far; at most k entries over all rounds
-    turns: dict[int, int] = {}
-    chosen: list[tuple[int, int, int]] = []
-    served: dict[int, int] = {}  # room -> choices so far
-    room = F.xxhash64(F.coalesce("group_name", F.lit("\0")))
-    # An item's records without a group share the direction of its smallest group, after those that have one.
-    home = classes.filter("group_name is not null").groupBy(F.col("item").alias("hi")).agg(F.min("group_name").alias("home"))
-    classes = classes.join(home, F.col("item") == F.col("hi"), "left").withColumn("late", F.col("group_name").isNull().cast("int")).withColumn("group_name", F.coalesce("group_name", "home"))
-    classes = materialize(classes.select("class", "item", "n", room.alias("room"), "late"), "classes")
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    turn = 0
-    while len(chosen) < min(k, total):
-        # Deflation: classes that still have records, of items not yet chosen in this turn.
-        state = spark.createDataFrame(list(left.items()), "c long, used long")
-        done = spark.createDataFrame([(i,) for i, t in turns.items() if t > turn], "i long")
-        open_ = classes.join(F.broadcast(state), F.col("class") == F.col("c"), "left").filter(F.col("n") > F.coalesce("used", F.lit(0)))
-        open_ = open_.join(F.broadcast(done), F.col("item") == F.col("i"), "left_anti")
-        want = min(ROUND, k - len(chosen))
-        got = spark.createDataFrame(list(served.items()), "r long, got long")
-        running = open_.groupBy("room").agg(F.countDistinct("item").alias("items")).join(F.broadcast(got), F.col("room") == F.col("r"), "left")
-        running = [r["room"] for r in running.orderBy(F.coalesce("got", F.lit(0)), "items", "room").limit(want).collect()]
-        if not running:
-            turn += 1
-            continue
-        rank = want // len(running)
-        number = spark.createDataFrame(list(zip(running, range(len(running)))), "r long, number int")
-        rows = open_.join(F.broadcast(number), F.col("room") == F.col("r")).select("class", "item", F.col("number").alias("room"), "late")
-        won = _tournament(rows, want, rank, len(running)).select("class", "item", "late", "room").collect()
-        taken = set()
-        for r in sorted(won, key=lambda r: (r["late"], r["room"], r["class"])):
-            if r["item"] not in taken and len(chosen) < k:
-                taken.add(r["item"])
-                turns[r["item"]] = turn + 1
-                served[running[r["room"]]] = served.get(running[r["room"]], 0) + 1
-                chosen.append((r["class"], left.get(r["class"], 0), turn))
-                left[r["class"]] = left.get(r["class"], 0) + 1
-    picks = spark.createDataFrame(chosen, "c long, at long, turn int")
-    most = spark.createDataFrame(list(left.items()), "c2 long, used long")
-    mine = records.join(F.broadcast(most), F.col("class") == F.col("c2"))
-    # Only the first records of a class are needed: the limit on the rank is applied before the shuffle.
-    first = mine.withColumn("at2", F.row_number().over(Window.partitionBy("class").orderBy(F.xxhash64("key"), "key")) - 1).filter(F.col("at2") < max(left.values(), default=0))
-    out = first.join(F.broadcast(picks), (F.col("class") == F.col("c")) & (F.col("at2") == F.col("at")))
-    return out.select(F.col("key").alias(key), F.col("item_name").alias(item), F.col("group_name").alias(group), "turn")
+    classes = records.groupBy("class", "item", "group_name").agg(F.count(F.lit(1)).alias("n"))
+    # An item's records without a group stand in its smallest group, after those that have one.
+    of_item = classes.groupBy(F.col("item").alias("i")).agg(F.min("group_name").alias("home"), F.sum("n").alias("total"))
+    classes = classes.join(of_item, F.col("item") == F.col("i")).select("class", "item", "n", "total", F.xxhash64(name(F.coalesce("group_name", "home"))).alias("room"), F.col("group_name").isNull().cast("int").alias("late"))
+    classes = materialize(classes, "classes")
+    counts = {r["total"]: r["items"] for r in classes.groupBy("total").agg(F.countDistinct("item").alias("items")).collect()}  # at most sqrt(2 * records) rows
+    total = sum(n * items for n, items in counts.items())
+    k = min(total, max(0, round(share * total) if k is None else k))
+    turns = full_turns(counts, k) if k else 0
+    quota = classes.withColumn("q", F.lit(0).cast("long"))
+    if turns:
+        quota = materialize(_quotas(classes, turns), "quotas")
+    rest = k - sum(min(n, turns) * items for n, items in counts.items())
+    taken = quota.filter("q > 0").select("class", "q")
+    if rest:
+        last = _last_turn(quota, turns, rest, sum(items for n, items in counts.items() if n > turns))
+        taken = taken.unionByName(last.withColumn("q", F.lit(1).cast("long"))).groupBy("class").agg(F.sum("q").alias("q"))
+    taken = materialize(taken, "taken")
+    most = taken.agg(F.max("q")).first()[0] or 0
+    side = small_side(taken.select(F.col("class").alias("c"), "q"))
+    mine = records.join(side, F.col("class") == F.col("c")).drop("c").withColumn("piece", F.pmod("h", F.lit(_PIECES)).cast("int"))
+    sizes = mine.groupBy(F.col("class").alias("c"), F.col("piece").alias("p")).agg(F.count(F.lit(1)).alias("size"))
+    offset = F.coalesce(F.sum("size").over(Window.partitionBy("c").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("c", "p", offset.alias("start"))
+    # The rank filter is a constant, so each partition keeps its first rows before the shuffle.
+    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("class", "piece").orderBy("h", "key"))).filter(F.col("rank") <= int(most))
+    out = ranked.join(starts, (F.col("class") == F.col("c")) & (F.col("piece") == F.col("p"))).filter(F.col("start") + F.col("rank") <= F.col("q"))
+    return out.select(F.col("key").alias(key), F.col("item_name").alias(item), F.col("group_name").alias(group))
