@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from weftline.llm.splits import assign_splits, broken_groups, closest_subset
+from weftline.llm.splits import assign_splits, broken_groups, closest_splits, closest_subset
 
 ITEMS = "sku_id string, design_id string, split string"
 LINKS = "design_a string, design_b string, verdict string"
@@ -28,10 +28,31 @@ def test_closest_subset_is_optimal(seed):
     assert sum(s * k for s, k in take.items()) == (reach(sizes, target) if sizes else 0)
 
 
-def test_large_targets_place_large_groups_first():
-    sizes = {1: 5000, 1000: 40, 37: 9}
-    take = closest_subset(sizes, 20_011, max_bits=4096)
-    assert sum(s * k for s, k in take.items()) == 20_011
+@pytest.mark.parametrize("seed", range(20))
+def test_closest_subset_is_optimal_without_single_items(seed):
+    rnd = random.Random(seed)
+    unit = rnd.choice([1, 3, 10])
+    sizes = {unit * rnd.randint(7, 60): rnd.randint(1, 6) for _ in range(rnd.randint(1, 5))}
+    target = rnd.randint(0, 400)
+    take = closest_subset(sizes, target)
+    assert all(0 <= k <= sizes[s] for s, k in take.items())
+    assert sum(s * k for s, k in take.items()) == reach(sizes, target)
+
+
+def test_few_large_groups_come_as_near_as_they_can():
+    assert sum(s * k for s, k in closest_subset({7: 10, 10: 3}, 61).items()) == 62
+    scale = 10**8  # the same groups, counted in another unit: the optimum doesn't depend on size
+    assert closest_subset({7 * scale: 10, 10 * scale: 3}, 61 * scale) == {s * scale: k for s, k in closest_subset({7: 10, 10: 3}, 61).items()}
+    sizes = {999_983: 30, 1_000_003: 25, 500_009: 3}
+    total = sum(s * k for s, k in closest_subset(sizes, 20_000_000).items())
+    assert total == reach(sizes, 20_000_000)
+
+
+def test_orders_of_the_splits_are_tried():
+    plan = dict(closest_splits({6: 1, 4: 1, 3: 2, 5: 1}, {"val": 9, "test": 12}))
+    totals = {n: sum(s * k for s, k in t.items()) for n, t in plan.items()}
+    assert totals == {"val": 9, "test": 12}
+    assert sum(t.get(3, 0) for t in plan.values()) <= 2
 
 
 def test_groups_stay_together_near_the_shares(spark):

@@ -7,7 +7,7 @@ as rows of tables, so no cluster is ever gathered into one task or the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from weftline.plans.durable import materialize, materialize_marked, release
@@ -68,31 +68,35 @@ def hook_and_shortcut(edges: DataFrame, src: str, dst: str, vertices: DataFrame
     NULL ends, self-links and repeats are ignored; ``vertices`` adds vertices
     without links, each a group of its own. No rows in give no rows out.
     """
-    link = materialize(_links(edges, src, dst), "hook")
+    link, (links, _) = materialize_marked(_links(edges, src, dst), ["v", "u"], "hook")
     ends = link.select(F.col("v").alias("vertex")).unionByName(link.select(F.col("u").alias("vertex")))
     if vertices is not None:
         ends = ends.unionByName(vertices.select(F.col(vertex or vertices.columns[0]).alias("vertex")).filter("vertex is not null"))
     parent = materialize(ends.distinct().select("vertex", F.col("vertex").alias("parent")), "parent")
     for _ in range(max_rounds):
-        if link.isEmpty():
+        if not links:
             release(link)
             return parent.select("vertex", F.col("parent").alias("group_id"))
         # Links run between roots. Hook: each root takes the smallest root it is linked to, if smaller.
-        hook = link.groupBy(F.col("v").alias("root")).agg(F.min("u").alias("up"))
-        tree = materialize(hook, "tree")
-        while True:  # Shortcut the hooked roots; each step halves the depth of the trees.
-            above = tree.select(F.col("root").alias("r2"), F.col("up").alias("up2"))
-            step = materialize(tree.join(above, F.col("up") == F.col("r2"), "left").select("root", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved")), "tree")
-            moved = not step.filter("moved").limit(1).isEmpty()
+        tree = materialize(link.groupBy(F.col("v").alias("root")).agg(F.min("u").alias("up")), "tree")
+        while True:  # Shortcut the hooked roots, two steps per written table; each halves the depth of the trees.
+            seen = Observation()
+            step = materialize(_shortcut(_shortcut(tree)).observe(seen, F.count_if("moved").alias("n")).drop("moved"), "tree")
             release(tree)
             tree = step
-            if not moved:
+            if not seen.get["n"]:
                 break
         to = tree.select("root", "up")
         grown = materialize(parent.join(to, F.col("parent") == F.col("root"), "left").select("vertex", F.coalesce("up", "parent").alias("parent")), "parent")
         l1 = link.join(to, F.col("v") == F.col("root"), "left").select(F.coalesce("up", "v").alias("v"), "u")
         l2 = l1.join(to, F.col("u") == F.col("root"), "left").select("v", F.coalesce("up", "u").alias("u"))
-        nxt = materialize(_links(l2, "v", "u"), "hook")
+        nxt, (links, _) = materialize_marked(_links(l2, "v", "u"), ["v", "u"], "hook")
         release(parent, link, tree)
         parent, link = grown, nxt
     raise RuntimeError(f"components did not settle within {max_rounds} rounds")
+
+
+def _shortcut(tree: DataFrame) -> DataFrame:
+    """The parent of the parent as parent, and whether it moved."""
+    above = tree.select(F.col("root").alias("r2"), F.col("up").alias("up2"))
+    return tree.join(above, F.col("up") == F.col("r2"), "left").select("root", F.coalesce("up2", "up").alias("up"), F.col("up2").isNotNull().alias("moved"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
+from itertools import permutations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,48 +16,82 @@ from weftline.operators.ranking import salted_row_number
 from weftline.plans.bounded import small_side
 from weftline.plans.durable import materialize
 
-#: Bits of the largest subset-sum set; beyond it, large groups are placed largest first until the rest fits.
-MAX_BITS = 1 << 25
-
-
-def closest_subset(sizes: Mapping[int, int], target: int, max_bits: int = MAX_BITS) -> dict[int, int]:
+def closest_subset(sizes: Mapping[int, int], target: int) -> dict[int, int]:
     """How many groups of each size to take so that their total is as near ``target`` as possible.
 
     ``sizes``: size -> number of groups. Reachable totals are the bits of one integer; a
-    size with multiplicity c joins it as 1, 2, 4, ... copies, so the work is
-    (distinct sizes * log multiplicity) shifts. The lower of two equally near totals wins.
-    Empty sizes or a target of 0 take nothing.
+    size with multiplicity c joins it as 1, 2, 4, ... copies, so the work is at most
+    (distinct sizes * log multiplicity) shifts, and ends as soon as the multiple of that divisor nearest to the target is reached. Beside the bits, an array names the
+    step that first reached each total, so memory is in proportion to the target divided by the sizes' greatest common divisor. The
+    same optimum at every size; the lower of two equally near totals wins. Empty sizes or a target of 0 take nothing.
     """
     left = {s: c for s, c in sizes.items() if s > 0 and c > 0}
-    taken: dict[int, int] = {}
+    if target <= 0 or not left:
+        return {}
+    unit = math.gcd(*left)
+    low = target // unit
+    # The nearest total exceeds the target by at most half a group (else it is nearer without it) and at most the target (nothing is as near).
+    limit = low + 1 + min(max(left) // unit // 2 + 1, low)
+    goal = low if target - low * unit <= (low + 1) * unit - target else low + 1
+    items = []
     for s in sorted(left, reverse=True):
-        if target <= max_bits:
+        c, k = left[s], 1
+        while c > 0:
+            items.append((s, min(k, c)))
+            c, k = c - min(k, c), k * 2
+    bits, mask = 1, (1 << (limit + 1)) - 1
+    by = np.zeros(limit + 1, np.min_scalar_type(len(items)))  # total -> number of the step that first reached it
+    for step, (s, k) in enumerate(items, 1):
+        new = (bits << (s // unit * k)) & mask & ~bits
+        bits |= new
+        _mark(by, new, step)
+        if bits >> goal & 1:
             break
-        k = min(left[s], (target - max_bits // 2) // s)
-        if k > 0:
-            taken[s], left[s], target = k, left[s] - k, target - k * s
-    if target > 0 and left:
-        limit = (1 << (target + max(left) + 1)) - 1
-        items = []
-        for s in sorted(left, reverse=True):
-            c, k = left[s], 1
-            while c > 0:
-                items.append((s, min(k, c)))
-                c, k = c - min(k, c), k * 2
-        steps = [1]
-        for s, k in items:
-            steps.append((steps[-1] | steps[-1] << (s * k)) & limit)
-        low = (steps[-1] & ((1 << (target + 1)) - 1)).bit_length() - 1
-        above = steps[-1] >> (target + 1)
-        high = target + 1 + ((above & -above).bit_length() - 1) if above else None
-        total = low if high is None or target - low <= high - target else high
-        for (s, k), before in zip(reversed(items), reversed(steps[:-1])):
-            if not before >> total & 1:
-                taken[s] = taken.get(s, 0) + k
-                total -= s * k
+    under = (bits & ((1 << (low + 1)) - 1)).bit_length() - 1
+    above = bits >> (low + 1)
+    over = low + 1 + ((above & -above).bit_length() - 1) if above else None
+    total = under if over is None or target - under * unit <= over * unit - target else over
+    taken: dict[int, int] = {}
+    while total:
+        s, k = items[int(by[total]) - 1]
+        taken[s] = taken.get(s, 0) + k
+        total -= s // unit * k
     return taken
 
 
+def _mark(by: np.ndarray, bits: int, step: int, piece: int = 1 << 20) -> None:
+    """Set ``by`` to ``step`` at the places of the set ``bits``, a piece of bytes at a time."""
+    raw = np.frombuffer(bits.to_bytes(len(by) // 8 + 1, "little"), np.uint8)
+    for start in range(0, len(raw), piece):
+        part = raw[start : start + piece]
+        if part.any():
+            at = np.flatnonzero(np.unpackbits(part, bitorder="little")) + 8 * start
+            by[at] = step
+
+
+def closest_splits(sizes: Mapping[int, int], targets: Mapping[str, int]) -> list[tuple[str, dict[int, int]]]:
+    """Groups of each size for every split, in the order in which splits are solved.
+
+    Each split is solved on what those before leave; all orders of the splits are tried (up to 4 splits), and the
+    one with the least total distance from the targets wins, the first of equal ones.
+    """
+    names = list(targets)
+    best, least = [], None
+    for order in permutations(names) if len(names) <= 4 else [names]:
+        left, plan, off = dict(sizes), [], 0
+        for name in order:
+            take = closest_subset(left, targets[name])
+            for s, k in take.items():
+                left[s] -= k
+            plan.append((name, take))
+            off += abs(sum(s * k for s, k in take.items()) - targets[name])
+        if least is None or off < least:
+            best, least = plan, off
+        if not off:
+            break
+    return best
+
+
 def item_groups(items: DataFrame, links: DataFrame, item: str = "sku_id", design: str = "design_id") -> DataFrame:
     """``item``, ``group_id``, ``given``: each item once with the component of its design and its delivered split.
 
@@ -74,9 +111,8 @@ def assign_splits(items: DataFrame, links: DataFrame, shares: Mapping[str, float
     leave (default train .7, val .15, test .15). Which sizes go to which
     split is solved on the histogram of group sizes (at most sqrt(2 * items)
     rows); groups of one size are told apart by a salted rank, so even
-    millions of single-item groups are never sorted in one task. For a split of more than
-    ``MAX_BITS`` items large groups are placed largest first before the exact solution, so its total need not be the closest. A
-    group larger than a split's share stays in the first split. Empty tables give no rows.
+    millions of single-item groups are never sorted in one task. The driver's memory follows the largest target: a bit and
+    a small number per total. A group larger than a split's share stays in the first split. Empty tables give no rows.
     """
     shares = dict(shares or {"train": 0.7, "val": 0.15, "test": 0.15})
     rest, *others = shares
@@ -85,12 +121,10 @@ def assign_splits(items: DataFrame, links: DataFrame, shares: Mapping[str, float
     left = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(s * c for s, c in left.items())
     bounds, at = [], dict.fromkeys(left, 0)
-    for name in others:
-        take = closest_subset(left, round(shares[name] * total))
+    for name, take in closest_splits(left, {n: round(shares[n] * total) for n in others}):
         for s, k in take.items():
             bounds.append((s, at[s], at[s] + k, name))
             at[s] += k
-            left[s] -= k
     ranked = salted_row_number(groups, ["size"], ["group_id"], "at")
     table = groups.sparkSession.createDataFrame(bounds, "bsize long, lo long, hi long, chosen string")
     placed = ranked.join(small_side(table), (F.col("size") == F.col("bsize")) & (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi")), "left")
