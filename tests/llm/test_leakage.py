@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from weftline.llm.bloom import bloom_filter
 from weftline.llm.leakage import leak_report, leaked_items, tile
 from weftline.llm.words import WordHashes, windows, words
 
@@ -24,7 +25,7 @@ def tiles(doc, item, least):
     d, i = h.of(doc), h.of(item)
     seeds = [(x, y) for x, a in enumerate(windows(d, least)) for y, b in enumerate(windows(i, least)) if a == b]
     at, to = (np.array(x, int) for x in zip(*seeds)) if seeds else (np.zeros(0, int), np.zeros(0, int))
-    return tile(d, i, at, to, least) if seeds else []
+    return tile(at, to, least)
 
 
 def test_tiling_is_greedy_and_never_overlaps():
@@ -40,7 +41,7 @@ def test_tiling_is_greedy_and_never_overlaps():
         assert all(d[a : a + n] == i[b : b + n] for a, b, n in t)
 
 
-@pytest.mark.parametrize("limit", [10**7, 0])
+@pytest.mark.parametrize("limit", [1 << 24, 1])
 def test_documents(spark, limit):
     item = " ".join(f"w{i}" for i in range(30))
     docs = [
@@ -49,8 +50,28 @@ def test_documents(spark, limit):
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", "1 as item_id", "2 as id", "3 as seed")
     t = spark.createDataFrame([(10, item), (10, item), (11, "too short"), (12, None), (None, item)], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r for r in leaked_items(d, t, broadcast_chars=limit).collect()}
+    got = {(r["doc_id"], r["item_id"]): r for r in leaked_items(d, t, filter_bytes=limit).collect()}
     assert set(got) == {(1, 10), (2, 10), (6, 10), (7, 10), (8, 10)}
     assert got[7, 10]["tiles"] == 2 and got[7, 10]["coverage"] == 1.0 and got[2, 10]["covered"] == 12
-    assert leaked_items(d.limit(0), t, broadcast_chars=limit).count() == leaked_items(d, t.limit(0), broadcast_chars=limit).count() == 0
+    assert leaked_items(d.limit(0), t, filter_bytes=limit).count() == leaked_items(d, t.limit(0), filter_bytes=limit).count() == 0
     assert [tuple(r) for r in leak_report(d, t).collect()] == [(10, 5, 4, 1.0)]
+
+
+def test_filter_keeps_all_it_was_built_of(spark):
+    rnd = np.random.default_rng(3)
+    keys, others = rnd.integers(0, 2**64, (2, 3000), dtype=np.uint64)
+    df = spark.createDataFrame([(int(x),) for x in keys.view(np.int64)] + [(None,)], "key long")
+    for most in (1 << 20, 64):
+        f = bloom_filter(df, "key", most)
+        assert f.passes(keys).all() and 64 <= 8 * len(f.bits.value) <= max(most, 1 << 13)
+    assert bloom_filter(df, "key").passes(others).mean() < 0.02
+    assert not bloom_filter(df.limit(0), "key").passes(others).any()
+
+
+def test_a_passage_that_many_share(spark):
+    """A boilerplate passage in many items and documents: every pair is a case, each once."""
+    common = " ".join(f"c{i}" for i in range(14))
+    docs = spark.createDataFrame([(i, f"d{i} {common} {common} end") for i in range(60)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"t{i} {common}") for i in range(25)], "item_id long, text string")
+    got = leaked_items(docs, items).collect()
+    assert len(got) == 60 * 25 and {(r["tiles"], r["covered"], r["item_words"]) for r in got} == {(1, 14, 15)}
