@@ -1,6 +1,8 @@
 import random
 
-from weftline.llm.truncation import core_text, exposed_limits, length_measures, text_tails, tokens, truncated_documents, truncation_report
+import pytest
+
+from weftline.llm.truncation import MEASURES, core_text, exposed_limits, lengths, text_tails, tokens, truncated_documents, truncation_report
 
 PARTS = ["The fabric is soft and keeps its shape", "I ordered it for a walk and like it a lot", "Wash it apart and dry it flat far from the radiator", "The zip never sticks, the pockets are real", "Sizes start from 44 and go up in single steps"]
 SIGNS = ["Would buy again", "Good quality", "A pity, really…"]
@@ -35,9 +37,9 @@ def test_core_and_tokens():
     assert tokens("Model Zatuso costs 5, ok. New") == ["\0", "model", "\1", "costs", "0", ",", "ok", "\0", "new"]
 
 
-def test_lengths(spark):
-    text = 'ё<"&\n😀'
-    r = spark.createDataFrame([(text,)], "text string").select(*[c.alias(n) for n, c in length_measures().items()]).first().asDict()
+@pytest.mark.parametrize("text", ['ё<"&\n😀', "", 'plain "text" & <b>\n\\', "é\t\r"])
+def test_lengths(text):
+    r = dict(zip(MEASURES, lengths(text)))
     import html
     import json
 

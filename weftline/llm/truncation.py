@@ -7,10 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from weftline.llm.words import BASE, WordHashes
+from weftline.llm.bloom import BloomFilter, bloom_filter
+from weftline.llm.words import BASE, WordHashes, portions
 from weftline.plans.bounded import small_side
 from weftline.plans.durable import materialize
 
@@ -26,6 +29,7 @@ OPEN, OPEN_AT_LIMIT = 0.15, 0.75
 _TAG, _ENTITY = re.compile(r"<[^<>]*>"), re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|[a-zA-Z]\w*);")
 _TOKEN = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*|[.!?…]+|[^\w\s]")
 _MARKS = re.compile(r"(?:[\s�]|\.{2,}|…|<[^<>]*$|&[#\w]*$)+$")
+_PIECE = re.compile(r"&[#\w]*")
 _INNER = frozenset(",;:()«»\"'“”„—–-/%№°*+=&_[]")
 _END = "\0"
 
@@ -33,11 +37,17 @@ _END = "\0"
 def core_text(text: str) -> str:
     """The text without markup and without what a loss may leave at its very end: dots, damaged characters, a piece of a tag or entity, blanks."""
     t = _ENTITY.sub(" ", _TAG.sub(" ", text)) if "<" in text or "&" in text else text
-    while m := _MARKS.search(t):
+    while _marked(t) and (m := _MARKS.search(t)):
         t = t[: m.start()]
     return t
 
 
+def _marked(t: str) -> bool:
+    """Whether something of ``_MARKS`` may stand at the end (a quick look)."""
+    last = t[-1:]
+    return last.isspace() or last in ("�", "…") or t.endswith("..") or t.rfind("<") > t.rfind(">") or ("&" in t and _PIECE.fullmatch(t, t.rfind("&")) is not None)
+
+
 def tokens(core: str) -> list[str]:
     """Words (lower case; numbers as "0"; capitalised words inside a sentence as one class), inner punctuation, and sentence ends."""
     out, start = [_END], True
@@ -78,67 +88,74 @@ def _contexts(h: np.ndarray, end: np.uint64) -> Iterator[tuple[int, np.ndarray,
                 yield q, acc, (since >= q - 1) & (since > 0) & (at >= q - 1)
 
 
-def _portions(it: Iterator[pa.RecordBatch], chars: int = 1_000_000) -> Iterator[list[str]]:
-    """Texts in lists of about ``chars`` characters, so that memory follows neither batch size nor long texts' number."""
-    held: list[str] = []
-    size = 0
-    for b in it:
-        for i in range(b.num_rows):
-            t = b.column(0)[i].as_py()
-            held.append(t)
-            size += len(t)
-            if size >= chars:
-                yield held
-                held, size = [], 0
-    if held:
-        yield held
-
-
-def _statistics(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per portion of texts, summed: how often a context is followed by a sentence end (e) or goes on (c), and how often its last word goes on as a longer word (l)."""
-    hashes = WordHashes()
-    for texts in _portions(it):
-        words: list[str] = []
-        last: list[int] = []
-        for t in texts:
-            words += tokens(core_text(t))
-            last.append(len(words) - 1)
-        end = np.uint64(hashes[_END])
-        h = hashes.of(words)
-        inner = np.ones(len(h), bool)
-        inner[last] = False  # what follows a text's last word is unknown
-        ends = np.r_[h[1:] == end, True]
-        keys, e, c, lo = [], [], [], []
-
-        def add(k, e_, c_, l_):
-            keys.append(k)  # noqa: B023
-            e.append(e_)  # noqa: B023
-            c.append(c_)  # noqa: B023
-            lo.append(l_)  # noqa: B023
-
-        for q, k, ok in _contexts(h, end):
-            at = np.flatnonzero(ok & inner)
-            u, first, inv = np.unique(_mixed(k[at], q), return_index=True, return_inverse=True)
-            n = np.bincount(inv, minlength=len(u))
-            closed = np.bincount(inv, ends[at].astype(float), len(u)).astype(np.int64)
-            add(u, closed, n - closed, np.zeros(len(u), np.int64))
-            if q in BEGUN:
-                rest, piece, times = [], [], []
-                for p, m in zip(at[first].tolist(), n.tolist()):
-                    w = words[p]
-                    if w > "\x02" and w[0].isalpha():
-                        rest += [p] * (len(w) - 1)
-                        piece += [hashes[w[:j]] for j in range(1, len(w))]
-                        times += [m] * (len(w) - 1)
-                if rest:
+class _Begun(dict):
+    """word -> hashes of its beginnings that texts may end with, remembered; forgets everything when it grows too large."""
+
+    def __init__(self, hashes: WordHashes, pieces: BloomFilter, most: int = 500_000):
+        super().__init__()
+        self.hashes, self.pieces, self.most = hashes, pieces, most
+
+    def __missing__(self, w: str) -> np.ndarray | None:
+        if len(self) >= self.most:
+            self.clear()
+        found = None
+        if len(w) > 1 and w[0].isalpha():
+            h = self.hashes.of([w[:j] for j in range(1, len(w))])
+            h = h[self.pieces.passes(h)]
+            found = h if len(h) else None
+        self[w] = found
+        return found
+
+
+def _statistics(asked: BloomFilter, pieces: BloomFilter):
+    """Per portion of texts, summed: how often a context is followed by a sentence end (e) or goes on (c), and how often its last word goes on as a longer word (l).
+
+    Only contexts that pass ``asked`` are counted, and only beginnings of words that pass ``pieces`` are looked at.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        begun = _Begun(hashes, pieces)
+        for rows in portions(it, 0):
+            words: list[str] = []
+            last: list[int] = []
+            for (t,) in rows:
+                words += tokens(core_text(t))
+                last.append(len(words) - 1)
+            end = np.uint64(hashes[_END])
+            h = hashes.of(words)
+            inner = np.ones(len(h), bool)
+            inner[last] = False  # what follows a text's last word is unknown
+            ends = np.r_[h[1:] == end, True]
+            starts = [(p, x) for p, x in enumerate(map(begun.__getitem__, words)) if x is not None]
+            place = np.repeat(np.array([p for p, _ in starts], np.int64), [len(x) for _, x in starts])
+            piece = np.concatenate([x for _, x in starts]) if starts else np.zeros(0, np.uint64)
+            keys, closed, longer = [], [], []
+
+            def add(k, e, lo):
+                keys.append(k)  # noqa: B023
+                closed.append(e)  # noqa: B023
+                longer.append(lo)  # noqa: B023
+
+            for q, k, ok in _contexts(h, end):
+                ok &= inner
+                at = np.flatnonzero(ok)
+                key = _mixed(k[at], q)
+                hit = asked.passes(key)
+                add(key[hit], ends[at[hit]].astype(np.int8), np.zeros(int(hit.sum()), np.int8))
+                if q in BEGUN and len(place):
+                    of = ok[place]
                     with np.errstate(over="ignore"):
-                        pk = _mixed(k[rest] - h[rest] + np.array(piece, np.uint64), q)
-                    zero = np.zeros(len(pk), np.int64)
-                    add(pk, zero, zero, np.array(times, np.int64))
-        k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        u, inv = np.unique(k, return_inverse=True)
-        total = lambda x: np.bincount(inv, np.concatenate(x).astype(float), len(u)).astype(np.int64) if len(u) else np.zeros(0, np.int64)  # noqa: B023, E731
-        yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(total(e)), pa.array(total(c)), pa.array(total(lo))], ["key", "e", "c", "l"])
+                        key = _mixed(k[place[of]] - h[place[of]] + piece[of], q)
+                    key = key[asked.passes(key)]
+                    add(key, np.zeros(len(key), np.int8), np.ones(len(key), np.int8))
+            k, e, lo = (np.concatenate(x) for x in (keys, closed, longer)) if keys else (np.zeros(0, np.uint64), *[np.zeros(0, np.int8)] * 2)
+            u, inv = np.unique(k, return_inverse=True)
+            total = lambda x: np.bincount(inv, x, len(u)).astype(np.int64)  # noqa: B023, E731
+            n = [total(e), total((e == 0) & (lo == 0)), total(lo)]
+            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), *map(pa.array, n)], ["key", "e", "c", "l"])
+
+    return run
 
 
 def _mixed(acc: np.ndarray, q: int) -> np.ndarray:
@@ -146,70 +163,67 @@ def _mixed(acc: np.ndarray, q: int) -> np.ndarray:
         return (acc ^ (acc >> np.uint64(29))) * np.uint64(2 * q + 0x9E3779B97F4A7C01)
 
 
-def _tails(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per text: whether it stops without a sentence end, its end's contexts, and a hash that copies share."""
-    hashes = WordHashes()
-    for b in it:
+def _tails(kind: pa.DataType):
+    """Per text: its lengths, whether it stops without a sentence end, its end's contexts, its last word, and a hash that copies share."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
         end = np.uint64(hashes[_END])
-        is_open, keys, sizes, own = [], [], [], []
-        for t in b["text"].to_pylist():
-            core = core_text(t)
-            w = _last_tokens(core)
-            row: list[tuple] = []
-            if len(w) > 1 and w[-1] != _END:
-                h = hashes.of(w)
-                row = [(q, int(_mixed(k[-1:], q).view(np.int64)[0])) for q, k, ok in _contexts(h, end) if ok[-1]]
-            is_open.append(bool(row))
-            keys.append([k for _, k in row])
-            sizes.append([q for q, _ in row])
-            own.append(hashes_of_text(core))
-        cols = [b["doc_id"], b["source"], b["lengths"], pa.array(is_open), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(own, pa.int64())]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "lengths", "open", "keys", "sizes", "own"])
+        for rows in portions(it, 2):
+            is_open, keys, sizes, own, last, size = [], [], [], [], [], []
+            for _, _, text in rows:
+                core = core_text(text)
+                w = _last_tokens(core)
+                row: list[tuple] = []
+                if len(w) > 1 and w[-1] != _END:
+                    h = hashes.of(w)
+                    row = [(q, int(_mixed(k[-1:], q).view(np.int64)[0])) for q, k, ok in _contexts(h, end) if ok[-1]]
+                is_open.append(bool(row))
+                keys.append([k for _, k in row])
+                sizes.append([q for q, _ in row])
+                own.append(hashes_of_text(core))
+                last.append(hashes_of_word(hashes, w[-1]) if row else None)
+                size.append(lengths(text))
+            ids, sources, _ = zip(*rows)
+            cols = [pa.array(ids, kind), pa.array(sources, pa.string()), pa.array(size, pa.list_(pa.int32())), pa.array(is_open), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(last, pa.int64()), pa.array(own, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "lengths", "open", "keys", "sizes", "last", "own"])
+
+    return run
 
 
 def hashes_of_text(text: str) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(text) - (1 << 63)
 
 
-def _count_of(c, chars: str):
-    return F.length(c) - F.length(F.translate(c, chars, ""))
-
-
-def length_measures(text: str = "text") -> dict[str, F.Column]:
-    """Length of a text as different writers would have stored it: name -> Column."""
-    c = F.col(text)
-    chars, size = F.length(c), F.octet_length(c)
-    units = (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
-    ascii_ = F.length(F.regexp_replace(c, r"[^\x00-\x7F]", ""))
-    html = 4 * _count_of(c, "&") + 3 * _count_of(c, "<>") + 5 * _count_of(c, '"')
-    json = _count_of(c, '"\\\n\t\r')
-    lines = _count_of(c, "\n") - (F.length(c) - F.length(F.replace(c, F.lit("\r\n"), F.lit("\n"))))
-    return {
-        "chars": chars,
-        "utf8": size,
-        "utf16": units,
-        "chars_html": chars + html,
-        "utf8_html": size + html,
-        "chars_json": chars + json,
-        "utf8_json": size + json,
-        "ascii_json": ascii_ + json + 6 * (units - ascii_),
-        "chars_crlf": chars + lines,
-        "utf8_crlf": size + lines,
-        "chars_br": chars + 3 * lines,
-    }
+def hashes_of_word(hashes: WordHashes, w: str) -> int:
+    """The word's hash as a signed number."""
+    return (hashes[w] ^ 1 << 63) - (1 << 63)
+
+
+#: Lengths of a text as different writers would have stored it.
+MEASURES = ("chars", "utf8", "utf16", "chars_html", "utf8_html", "chars_json", "utf8_json", "ascii_json", "chars_crlf", "utf8_crlf", "chars_br")
+
+
+def lengths(text: str) -> list[int]:
+    """The lengths named in ``MEASURES``: characters and bytes plain, with entities, with JSON escapes, with two-byte and marked-up line ends."""
+    n = utf8 = units = ascii_ = len(text)
+    if not text.isascii():
+        utf8, units, ascii_ = len(text.encode("utf-8", "replace")), len(text.encode("utf-16-le", "replace")) // 2, len(text.encode("ascii", "ignore"))
+    quotes, feeds = text.count('"'), text.count("\n")
+    html = 4 * text.count("&") + 3 * (text.count("<") + text.count(">")) + 5 * quotes
+    json = quotes + feeds + text.count("\\") + text.count("\t") + text.count("\r")
+    lines = feeds - text.count("\r\n")
+    return [n, utf8, units, n + html, utf8 + html, n + json, utf8 + json, ascii_ + json + 6 * (units - ascii_), n + lines, utf8 + lines, n + 3 * lines]
 
 
 def text_tails(documents: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id``, ``source``, ``lengths`` (by measure), ``open`` (no sentence end at the end), contexts of the last words.
+    """``doc_id``, ``source``, ``lengths`` (by measure), ``open`` (no sentence end at the end), contexts and hash of the last words.
 
     NULL texts and NULL ids are left out; a text without any word is not open.
     """
     src = documents.select(F.col(doc).alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    rows = src.withColumn("lengths", F.array(*[m.cast("int") for m in length_measures("text").values()]))
-    kind = src.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_tails, f"doc_id {kind}, source string, lengths array<int>, open boolean, keys array<long>, sizes array<int>, own long")
+    kind = src.schema["doc_id"].dataType
+    return src.mapInArrow(_tails(to_arrow_type(kind)), f"doc_id {kind.simpleString()}, source string, lengths array<int>, open boolean, keys array<long>, sizes array<int>, last long, own long")
 
 
 def exposed_limits(tails: DataFrame, least: int = 4, times: float = 5.0, reach: int = 25) -> DataFrame:
@@ -221,14 +235,13 @@ def exposed_limits(tails: DataFrame, least: int = 4, times: float = 5.0, reach:
     within ``reach`` of it. Only the table of length counts is sorted; it has at most as
     many rows per source and measure as there are lengths.
     """
-    names = list(length_measures())
     texts = tails.groupBy("source", "own", "lengths").agg(F.max("open").alias("open"))
     one = texts.select("source", "own", "open", F.posexplode("lengths").alias("m", "length")).distinct()
     n = one.groupBy("source", "m", "length").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("open").cast("long")).alias("n_open"))
     near = Window.partitionBy("source", "m").orderBy("length").rangeBetween(-reach, reach)
     usual = (F.sum("n").over(near) - F.col("n")) / (2.0 * reach)
     hit = n.withColumn("usual", usual).filter((F.col("n_open") >= least) & (2 * F.col("n_open") >= F.col("n")) & (F.col("n") >= times * F.greatest("usual", F.lit(0.2))))
-    return hit.select("source", F.element_at(F.array(*[F.lit(x) for x in names]), F.col("m") + 1).alias("measure"), "m", "length", "n", "n_open")
+    return hit.select("source", F.element_at(F.array(*[F.lit(x) for x in MEASURES]), F.col("m") + 1).alias("measure"), "m", "length", "n", "n_open")
 
 
 def truncated_documents(documents: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -245,13 +258,15 @@ def truncated_documents(documents: DataFrame, doc: str = "doc_id", text: str = "
     too; copies count once. Texts at an exposed limit need clearer proof of being complete, and are
     cut when nothing is known of their ending.
 
-    Empty texts and texts without words are never truncated. Statistics are
-    summed per batch before they are shuffled, and cover all texts. Repeated ids give repeated rows.
+    Empty texts and texts without words are never truncated. Statistics
+    cover all texts; the contexts that open texts end with go to the workers as a Bloom filter of bounded size, so only
+    counts of these (and of the few others that pass) are summed per portion and shuffled. Repeated ids give repeated rows.
     """
     tails = materialize(text_tails(documents, doc, text, source), "tails")
     limits = materialize(exposed_limits(tails), "limits").select(F.col("source").alias("ls"), F.col("m").alias("lm"), F.col("length").alias("ll"))
     open_ = tails.filter("open")
-    stats = documents.select(F.col(text).alias("text")).filter("text is not null").mapInArrow(_statistics, "key long, e long, c long, l long").withColumn("d", F.lit(0).cast("long"))
+    asked_keys, pieces = bloom_filter(open_.select(F.explode("keys").alias("key")), "key"), bloom_filter(open_, "last")
+    stats = documents.select(F.col(text).alias("text")).filter("text is not null").mapInArrow(_statistics(asked_keys, pieces), "key long, e long, c long, l long").withColumn("d", F.lit(0).cast("long"))
     ends = open_.select("own", F.explode("keys").alias("key")).distinct().groupBy("key").agg(F.count(F.lit(1)).alias("d"))
     zero = [F.lit(0).cast("long").alias(x) for x in "ecl"]
     known = stats.unionByName(ends.select("key", *zero, "d")).groupBy("key").agg(*[F.sum(x).alias(x) for x in "ecld"]).withColumnRenamed("key", "k")
