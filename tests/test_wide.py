@@ -53,3 +53,22 @@ def test_edges(spark):
         wide(spark, [("a", "{}")], [("x", "y", "int"), ("z", "y", "date")])
     with pytest.raises(ValueError):
         wide(spark, [("a", "{}")], [("x", "sku_id", "int")])
+
+
+@pytest.mark.parametrize("fan_in", [2, 3, 16])
+def test_nodes_of_a_tree_give_the_same_row(spark, fan_in):
+    names = [f"a{i}" for i in range(7)]
+    dictionary = spark.createDataFrame([(n, n, "int") for n in names], "spelling string, attr_name string, value_type string")
+    cells = [(f"e{e}", n, str(e * i)) for e in range(40) for i, n in enumerate(names) if (e + i) % 3]
+    df = widen(spark.createDataFrame([(f"e{e}",) for e in range(41)], "id string"), "id", spark.createDataFrame(cells, "entity string, attribute string, value string"), dictionary, fan_in)
+    got = {r["id"]: tuple(r)[1:] for r in df.collect()}
+    assert got == {f"e{e}": tuple(e * i if (e + i) % 3 and e < 40 else None for i in range(7)) for e in range(41)}
+
+
+def test_joins_of_a_node_shuffle_nothing(spark):
+    df = wide(spark, [("a", '{"Масса": 5}')])
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    joins = max(i for i, x in enumerate(plan) if "Join" in x)
+    assert not [x for x in plan[:joins] if "Exchange" in x and plan.index(x) < min(i for i, y in enumerate(plan) if "Join" in y)]
+    # One exchange for each narrow table and one for the entities.
+    assert sum("Exchange hashpartitioning" in x for x in plan) <= 6

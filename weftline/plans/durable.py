@@ -3,7 +3,8 @@
 Iterative operators must not keep growing lineage, and executors may be lost at
 any time, so a cut is a real table in the folder that ``spark.checkpoint.dir``
 names. A written table is computed once (``checkpoint()`` computes its last
-stage twice) and is columnar when read again.
+stage twice) and is columnar when read again. Tables that a loop or an operator has used up are
+deleted at once (``release``); those that a returned frame still reads go with the application.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _local_dirs: list[str] = []
+_marked: set[str] = set()
 
 
 @atexit.register
@@ -39,10 +41,33 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/weftline-{sc.applicationId}"
 
 
+def _filesystem(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the file system has the path. A fault of the file system is an error, not a "no"."""
+    fs, p = _filesystem(spark, path)
+    return fs.exists(p)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the application's own folder of the shared folder; the folder is deleted when the session's JVM ends."""
+    root = shared_root(spark)
+    if root not in _marked:
+        fs, p = _filesystem(spark, root)
+        fs.mkdirs(p)
+        fs.deleteOnExit(p)
+        _marked.add(root)
+    return f"{root}/{name}"
+
+
 def materialize(df: DataFrame, tag: str = "cut") -> DataFrame:
     """Write ``df`` to the shared folder and return a frame that reads it."""
     spark = df.sparkSession
-    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = scratch(spark, f"{tag}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weftline_path = path
@@ -61,6 +86,5 @@ def release(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "_weftline_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            fs, p = _filesystem(df.sparkSession, path)
+            fs.delete(p, True)

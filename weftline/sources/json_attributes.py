@@ -64,7 +64,7 @@ def _explode(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def attribute_rows(df: DataFrame, entity: str, text: str) -> DataFrame:
-    """``entity``, ``attribute``, ``value`` (text) rows of a JSON column; repeated rows of an entity are read once, JSON null gives no row."""
-    src = df.select(F.col(entity).alias("entity"), F.col(text).alias("text")).filter("entity is not null and text is not null and text <> ''").distinct()
+    """``entity``, ``attribute``, ``value`` (text) rows of a JSON column, map-only; repeated rows give repeated rows, JSON null gives no row."""
+    src = df.select(F.col(entity).alias("entity"), F.col(text).alias("text")).filter("entity is not null and text is not null and text <> ''")
     kind = src.schema["entity"].dataType.simpleString()
     return src.mapInArrow(_explode, f"entity {kind}, attribute string, value string")
