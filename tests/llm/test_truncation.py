@@ -1,8 +1,11 @@
 import random
+import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from weftline.llm.truncation import MEASURES, core_text, exposed_limits, lengths, text_tails, tokens, truncated_documents, truncation_report
+from weftline.llm.truncation import MEASURES, Vocabulary, _endings, _tails, core_text, exposed_limits, lengths, text_tails, truncated_documents, truncation_report
 
 PARTS = ["The fabric is soft and keeps its shape", "I ordered it for a walk and like it a lot", "Wash it apart and dry it flat far from the radiator", "The zip never sticks, the pockets are real", "Sizes start from 44 and go up in single steps"]
 SIGNS = ["Would buy again", "Good quality", "A pity, really…"]
@@ -32,9 +35,43 @@ def corpus(n=900, seed=0):
     return rows, cut
 
 
+def tokens(core):
+    """One text read word by word."""
+    out, start = ["\0"], True
+    for w in re.findall(r"[^\W_]+(?:[-'’][^\W_]+)*|[.!?…]+|[^\w\s]", core):
+        if w[0].isalnum():
+            out.append("0" if w[0].isdigit() else "\1" if not start and w[0].isupper() and not w.isupper() else w.lower())
+            start = False
+        elif w in ",;:()«»\"'“”„—–-/%№°*+=&_[]":
+            out.append(w)
+        else:
+            out.append("\0")
+            start = True
+    return out
+
+
 def test_core_and_tokens():
     assert core_text("One two <b>thr…") == "One two  thr" and core_text("a b</") == "a b" and core_text("x �\n") == "x" and core_text("… ...") == ""
+    assert core_text("a &amp; b &nb") == "a   b" and core_text("a.…") == "a." and core_text("5 < 6 > 5") == "5   5"
     assert tokens("Model Zatuso costs 5, ok. New") == ["\0", "model", "\1", "costs", "0", ",", "ok", "\0", "new"]
+    texts = ["Model Zatuso costs 5, ok. New", "", "(Only) «Signs» , — !", "OK МОДЕЛЬ Рост-170! «Да» A", "no end"]
+    v = Vocabulary()
+    for _ in range(2):
+        _, _, h, size = v.read(texts)
+        want = [tokens(t) for t in texts]
+        assert size.tolist() == [len(w) for w in want] and h.tolist() == [v.hashes[w] for t in want for w in t]
+
+
+def test_ends_of_long_texts_are_those_of_whole_texts():
+    rnd = random.Random(2)
+    texts = [" ".join(rnd.choice(PARTS) + rnd.choice(["", ".", ",", " x" * 30, "y" * 390]) for _ in range(12)) for _ in range(60)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(["s"] * 60), pa.array(texts)], ["doc_id", "source", "text"])
+    got = next(_tails(pa.int64())(iter([rows]))).to_pylist()
+    v = Vocabulary()
+    for r, text in zip(got, texts):
+        open_, keys, inside, last = _endings(v, [core_text(text)], np.zeros(1, bool))
+        assert r["open"] == open_[0] and r["keys"] == keys[0][inside[0]].tolist()
+        assert r["last"] == (last.view(np.int64)[0] if open_[0] else None)
 
 
 @pytest.mark.parametrize("text", ['ё<"&\n😀', "", 'plain "text" & <b>\n\\', "é\t\r"])

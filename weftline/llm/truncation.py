@@ -48,30 +48,76 @@ def _marked(t: str) -> bool:
     return last.isspace() or last in ("�", "…") or t.endswith("..") or t.rfind("<") > t.rfind(">") or ("&" in t and _PIECE.fullmatch(t, t.rfind("&")) is not None)
 
 
-def tokens(core: str) -> list[str]:
-    """Words (lower case; numbers as "0"; capitalised words inside a sentence as one class), inner punctuation, and sentence ends."""
-    out, start = [_END], True
-    for w in _TOKEN.findall(core):
+class Vocabulary(dict):
+    """Number of each word, sign or sentence end as it is written, and what it stands for.
+
+    A text is read as words (lower case; numbers as "0"; capitalised words inside a sentence as one class), inner punctuation, and sentence
+    ends, with one end before the first word. A word has one hash at the start of a sentence and one inside. With ``pieces`` the beginnings of words that
+    pass that filter are kept too. Everything is forgotten when it grows too large.
+    """
+
+    def __init__(self, pieces: BloomFilter | None = None, most: int = 500_000):
+        super().__init__()
+        self.pieces, self.most, self.hashes = pieces, most, WordHashes(most)
+        self.end = np.uint64(self.hashes[_END])
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.kind: list[int] = []  # 0 word, 1 inner punctuation, 2 sentence end
+        self.hash: list[tuple[int, int]] = []  # at the start of a sentence, inside
+        self.begun: list[tuple[np.ndarray | None, np.ndarray | None]] = []
+        self.tables: list[np.ndarray] = []
+
+    def __missing__(self, w: str) -> int:
         c = w[0]
         if c.isalnum():
-            out.append("0" if c.isdigit() else "\1" if not start and c.isupper() and not w.isupper() else w.lower())
-            start = False
-        elif c in _INNER:
-            out.append(w)
+            first = "0" if c.isdigit() else w.lower()
+            inside = "\1" if c.isupper() and not w.isupper() else first
+            self.kind.append(0)
         else:
-            out.append(_END)
-            start = True
-    return out
-
-
-def _last_tokens(core: str) -> list[str]:
-    need = max(CONTEXTS) + 2
-    for span in (400, 4000):
-        if len(core) > span:
-            out = tokens(core[-span:])[2:]  # the first word may be a piece
-            if len(out) > need:
-                return out[-need:]
-    return tokens(core)[-need:]
+            first = inside = w if c in _INNER else _END
+            self.kind.append(1 if c in _INNER else 2)
+        self.hash.append((self.hashes[first], self.hashes[inside]))
+        begun = self._beginnings(first)
+        self.begun.append((begun, begun if inside == first else None))
+        n = self[w] = len(self)
+        return n
+
+    def _beginnings(self, word: str) -> np.ndarray | None:
+        if self.pieces is None or len(word) < 2 or not word[0].isalpha():
+            return None
+        h = self.hashes.of([word[:j] for j in range(1, len(word))])
+        h = h[self.pieces.passes(h)]
+        return h if len(h) else None
+
+    def read(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers, whether each stands at the start of a sentence, hashes, tokens per text) of the texts one after the other."""
+        if len(self) > self.most:
+            self.forget()
+        written: list[str] = []
+        size = np.zeros(len(cores), np.int64)
+        for i, core in enumerate(cores):
+            before = len(written)
+            written.append(_END)
+            written += _TOKEN.findall(core)
+            size[i] = len(written) - before
+        ids = np.fromiter(map(self.__getitem__, written), np.int64, len(written))
+        if not self.tables or len(self.tables[0]) < len(self.kind):
+            has = np.array([(s is not None, i is not None) for s, i in self.begun], bool).reshape(-1, 2)
+            self.tables = [np.array(self.kind, np.int8), np.array(self.hash, np.uint64).reshape(-1, 2), has]
+        kind, hashes, _ = self.tables
+        seen = np.maximum.accumulate(np.where(kind[ids] != 1, np.arange(len(ids)), 0))  # the last word or end so far
+        start = np.ones(len(ids), bool)
+        start[1:] = kind[ids[seen[:-1]]] == 2
+        return ids, start, hashes[ids, np.where(start, 0, 1)], size
+
+    def beginnings(self, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hash) of the kept beginnings of the words read."""
+        side = np.where(start, 0, 1)
+        at = np.flatnonzero(self.tables[2][ids, side])
+        found = [self.begun[i][k] for i, k in zip(ids[at].tolist(), side[at].tolist())]
+        return np.repeat(at, [len(x) for x in found]), np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
 def _contexts(h: np.ndarray, end: np.uint64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -88,25 +134,6 @@ def _contexts(h: np.ndarray, end: np.uint64) -> Iterator[tuple[int, np.ndarray,
                 yield q, acc, (since >= q - 1) & (since > 0) & (at >= q - 1)
 
 
-class _Begun(dict):
-    """word -> hashes of its beginnings that texts may end with, remembered; forgets everything when it grows too large."""
-
-    def __init__(self, hashes: WordHashes, pieces: BloomFilter, most: int = 500_000):
-        super().__init__()
-        self.hashes, self.pieces, self.most = hashes, pieces, most
-
-    def __missing__(self, w: str) -> np.ndarray | None:
-        if len(self) >= self.most:
-            self.clear()
-        found = None
-        if len(w) > 1 and w[0].isalpha():
-            h = self.hashes.of([w[:j] for j in range(1, len(w))])
-            h = h[self.pieces.passes(h)]
-            found = h if len(h) else None
-        self[w] = found
-        return found
-
-
 def _statistics(asked: BloomFilter, pieces: BloomFilter):
     """Per portion of texts, summed: how often a context is followed by a sentence end (e) or goes on (c), and how often its last word goes on as a longer word (l).
 
@@ -114,22 +141,14 @@ def _statistics(asked: BloomFilter, pieces: BloomFilter):
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        begun = _Begun(hashes, pieces)
+        vocabulary = Vocabulary(pieces)
         for rows in portions(it, 0):
-            words: list[str] = []
-            last: list[int] = []
-            for (t,) in rows:
-                words += tokens(core_text(t))
-                last.append(len(words) - 1)
-            end = np.uint64(hashes[_END])
-            h = hashes.of(words)
+            ids, start, h, size = vocabulary.read([core_text(t) for (t,) in rows])
+            end = vocabulary.end
             inner = np.ones(len(h), bool)
-            inner[last] = False  # what follows a text's last word is unknown
+            inner[np.cumsum(size) - 1] = False  # what follows a text's last word is unknown
             ends = np.r_[h[1:] == end, True]
-            starts = [(p, x) for p, x in enumerate(map(begun.__getitem__, words)) if x is not None]
-            place = np.repeat(np.array([p for p, _ in starts], np.int64), [len(x) for _, x in starts])
-            piece = np.concatenate([x for _, x in starts]) if starts else np.zeros(0, np.uint64)
+            place, piece = vocabulary.beginnings(ids, start)
             keys, closed, longer = [], [], []
 
             def add(k, e, lo):
@@ -163,43 +182,61 @@ def _mixed(acc: np.ndarray, q: int) -> np.ndarray:
         return (acc ^ (acc >> np.uint64(29))) * np.uint64(2 * q + 0x9E3779B97F4A7C01)
 
 
+def _list_array(values: np.ndarray, mask: np.ndarray) -> pa.ListArray:
+    """For each row of ``mask`` the list of the values it marks."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(mask.sum(1))].astype(np.int32)), pa.array(values[mask]))
+
+
+def _endings(vocabulary: Vocabulary, cores: list[str], partial: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Per text: whether it is open, the keys of its end's contexts, which of them lie inside one sentence, and its last token's hash.
+
+    ``partial`` texts are ends of longer ones: their first word may be a piece and isn't used, and no sentence starts there.
+    """
+    _, _, h, size = vocabulary.read(cores)
+    last = np.cumsum(size) - 1
+    first = last - size + 1 + 2 * partial
+    count = np.maximum(last - first + 1, 0)
+    mark = np.maximum.accumulate(np.where(h == vocabulary.end, np.arange(len(h)), -1))[last]
+    since = np.where(mark < first, np.iinfo(np.int64).max, last - mark)
+    open_ = (count > 1) & (since > 0)
+    keys, inside = np.zeros((len(cores), len(CONTEXTS)), np.int64), np.zeros((len(cores), len(CONTEXTS)), bool)
+    acc, power = np.zeros(len(cores), np.uint64), np.uint64(1)
+    with np.errstate(over="ignore"):
+        for q in range(1, max(CONTEXTS) + 1):
+            acc = acc + h[np.maximum(last - q + 1, 0)] * power
+            power = power * np.uint64(BASE)
+            if q in CONTEXTS:
+                i = CONTEXTS.index(q)
+                keys[:, i], inside[:, i] = _mixed(acc, q).view(np.int64), open_ & (since >= q - 1) & (count >= q)
+    return open_, keys, inside, h[last]
+
+
+#: Characters at the end of a text that are read for its last words; the whole text is read where they hold too few words.
+_SPAN = 400
+
+
 def _tails(kind: pa.DataType):
     """Per text: its lengths, whether it stops without a sentence end, its end's contexts, its last word, and a hash that copies share."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        end = np.uint64(hashes[_END])
+        vocabulary = Vocabulary()
         for rows in portions(it, 2):
-            is_open, keys, sizes, own, last, size = [], [], [], [], [], []
-            for _, _, text in rows:
-                core = core_text(text)
-                w = _last_tokens(core)
-                row: list[tuple] = []
-                if len(w) > 1 and w[-1] != _END:
-                    h = hashes.of(w)
-                    row = [(q, int(_mixed(k[-1:], q).view(np.int64)[0])) for q, k, ok in _contexts(h, end) if ok[-1]]
-                is_open.append(bool(row))
-                keys.append([k for _, k in row])
-                sizes.append([q for q, _ in row])
-                own.append(hashes_of_text(core))
-                last.append(hashes_of_word(hashes, w[-1]) if row else None)
-                size.append(lengths(text))
-            ids, sources, _ = zip(*rows)
-            cols = [pa.array(ids, kind), pa.array(sources, pa.string()), pa.array(size, pa.list_(pa.int32())), pa.array(is_open), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32())), pa.array(last, pa.int64()), pa.array(own, pa.int64())]
+            ids, sources, texts = zip(*rows)
+            cores = [core_text(t) for t in texts]
+            partial = np.array([len(c) > _SPAN for c in cores])
+            open_, keys, inside, last = _endings(vocabulary, [c[-_SPAN:] for c in cores], partial)
+            short = np.flatnonzero(partial & ~inside[:, -1])  # an end or too few words among the last characters: looked at in full
+            if len(short):
+                open_[short], keys[short], inside[short], last[short] = _endings(vocabulary, [cores[i] for i in short.tolist()], np.zeros(len(short), bool))
+            own = [xxhash.xxh3_64_intdigest(c) - (1 << 63) for c in cores]
+            size = np.array([lengths(t) for t in texts], np.int32)
+            q = np.broadcast_to(np.array(CONTEXTS, np.int32), keys.shape)
+            cols = [pa.array(ids, kind), pa.array(sources, pa.string()), _list_array(size, np.ones(size.shape, bool)), pa.array(open_), _list_array(keys, inside), _list_array(q, inside), pa.array(last.view(np.int64), mask=~open_), pa.array(own, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "source", "lengths", "open", "keys", "sizes", "last", "own"])
 
     return run
 
 
-def hashes_of_text(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
-
-
-def hashes_of_word(hashes: WordHashes, w: str) -> int:
-    """The word's hash as a signed number."""
-    return (hashes[w] ^ 1 << 63) - (1 << 63)
-
-
 #: Lengths of a text as different writers would have stored it.
 MEASURES = ("chars", "utf8", "utf16", "chars_html", "utf8_html", "chars_json", "utf8_json", "ascii_json", "chars_crlf", "utf8_crlf", "chars_br")
 
