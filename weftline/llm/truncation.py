@@ -64,32 +64,39 @@ class Vocabulary(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.kind: list[int] = []  # 0 word, 1 inner punctuation, 2 sentence end
-        self.hash: list[tuple[int, int]] = []  # at the start of a sentence, inside
-        self.begun: list[tuple[np.ndarray | None, np.ndarray | None]] = []
-        self.tables: list[np.ndarray] = []
+        self.new: list[tuple[str, str, int]] = []  # what stands for the newest ones, at the start of a sentence and inside; 0 word, 1 inner punctuation, 2 sentence end
+        self.kind, self.hash = np.zeros(0, np.int8), np.zeros((0, 2), np.uint64)
+        self.begun, self.offset = np.zeros(0, np.uint64), np.zeros(1, np.int64)  # kept beginnings of all words, and where each word's start
+        self.changes = np.zeros(0, bool)  # stands for something else inside a sentence
 
     def __missing__(self, w: str) -> int:
         c = w[0]
         if c.isalnum():
             first = "0" if c.isdigit() else w.lower()
-            inside = "\1" if c.isupper() and not w.isupper() else first
-            self.kind.append(0)
+            self.new.append((first, "\1" if c.isupper() and not w.isupper() else first, 0))
         else:
-            first = inside = w if c in _INNER else _END
-            self.kind.append(1 if c in _INNER else 2)
-        self.hash.append((self.hashes[first], self.hashes[inside]))
-        begun = self._beginnings(first)
-        self.begun.append((begun, begun if inside == first else None))
+            sign = w if c in _INNER else _END
+            self.new.append((sign, sign, 1 if c in _INNER else 2))
         n = self[w] = len(self)
         return n
 
-    def _beginnings(self, word: str) -> np.ndarray | None:
-        if self.pieces is None or len(word) < 2 or not word[0].isalpha():
-            return None
-        h = self.hashes.of([word[:j] for j in range(1, len(word))])
-        h = h[self.pieces.passes(h)]
-        return h if len(h) else None
+    def _learn(self) -> None:
+        """Tables of the newest entries, made together."""
+        if not self.new:
+            return
+        first, inside, kind = zip(*self.new)
+        self.new = []
+        self.kind = np.concatenate([self.kind, np.array(kind, np.int8)])
+        self.hash = np.concatenate([self.hash, np.stack([self.hashes.of(first), self.hashes.of(inside)], 1)])
+        self.changes = np.concatenate([self.changes, np.array([a != b for a, b in zip(first, inside)])])
+        size = np.array([len(w) - 1 if self.pieces is not None and w[0].isalpha() else 0 for w in first])
+        h = self.hashes.of([w[:j] for w, n in zip(first, size.tolist()) for j in range(1, n + 1)])
+        word = np.repeat(np.arange(len(first)), size)
+        if len(h):
+            kept = self.pieces.passes(h)
+            h, word = h[kept], word[kept]
+        self.begun = np.concatenate([self.begun, h])
+        self.offset = np.concatenate([self.offset, self.offset[-1] + np.cumsum(np.bincount(word, minlength=len(first)))])
 
     def read(self, cores: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(numbers, whether each stands at the start of a sentence, hashes, tokens per text) of the texts one after the other."""
@@ -103,21 +110,19 @@ class Vocabulary(dict):
             written += _TOKEN.findall(core)
             size[i] = len(written) - before
         ids = np.fromiter(map(self.__getitem__, written), np.int64, len(written))
-        if not self.tables or len(self.tables[0]) < len(self.kind):
-            has = np.array([(s is not None, i is not None) for s, i in self.begun], bool).reshape(-1, 2)
-            self.tables = [np.array(self.kind, np.int8), np.array(self.hash, np.uint64).reshape(-1, 2), has]
-        kind, hashes, _ = self.tables
-        seen = np.maximum.accumulate(np.where(kind[ids] != 1, np.arange(len(ids)), 0))  # the last word or end so far
+        self._learn()
+        seen = np.maximum.accumulate(np.where(self.kind[ids] != 1, np.arange(len(ids)), 0))  # the last word or end so far
         start = np.ones(len(ids), bool)
-        start[1:] = kind[ids[seen[:-1]]] == 2
-        return ids, start, hashes[ids, np.where(start, 0, 1)], size
+        start[1:] = self.kind[ids[seen[:-1]]] == 2
+        return ids, start, self.hash[ids, np.where(start, 0, 1)], size
 
     def beginnings(self, ids: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(place, hash) of the kept beginnings of the words read."""
-        side = np.where(start, 0, 1)
-        at = np.flatnonzero(self.tables[2][ids, side])
-        found = [self.begun[i][k] for i, k in zip(ids[at].tolist(), side[at].tolist())]
-        return np.repeat(at, [len(x) for x in found]), np.concatenate(found) if found else np.zeros(0, np.uint64)
+        n = np.where(start | ~self.changes[ids], (self.offset[1:] - self.offset[:-1])[ids], 0)
+        at = np.flatnonzero(n)
+        n = n[at]
+        into = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(at, n), self.begun[np.repeat(self.offset[ids[at]], n) + into]
 
 
 def _contexts(h: np.ndarray, end: np.uint64) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -187,18 +192,24 @@ def _list_array(values: np.ndarray, mask: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(mask.sum(1))].astype(np.int32)), pa.array(values[mask]))
 
 
-def _endings(vocabulary: Vocabulary, cores: list[str], partial: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per text: whether it is open, the keys of its end's contexts, which of them lie inside one sentence, and its last token's hash.
+def _endings(vocabulary: Vocabulary, cores: list[str], partial: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per text: whether its end is known, whether it is open, the keys of its end's contexts, which of them lie inside one sentence, and its last token's hash.
 
-    ``partial`` texts are ends of longer ones: their first word may be a piece and isn't used, and no sentence starts there.
+    ``partial`` texts are ends of longer ones: their first word may be a piece and isn't used, and no sentence starts there; with too few words
+    after it their end isn't known.
     """
-    _, _, h, size = vocabulary.read(cores)
+    ids, _, h, size = vocabulary.read(cores)
     last = np.cumsum(size) - 1
-    first = last - size + 1 + 2 * partial
+    first = last - size + 1
+    if partial.any():
+        at = np.arange(len(ids))
+        ahead = np.minimum.accumulate(np.where(vocabulary.kind[ids] != 1, at, len(at))[::-1])[::-1]  # the next word or end
+        first = np.where(partial, np.r_[ahead, len(at)][first + 1] + 1, first)
     count = np.maximum(last - first + 1, 0)
     mark = np.maximum.accumulate(np.where(h == vocabulary.end, np.arange(len(h)), -1))[last]
     since = np.where(mark < first, np.iinfo(np.int64).max, last - mark)
     open_ = (count > 1) & (since > 0)
+    known = ~partial | (mark >= first) | (count > max(CONTEXTS))
     keys, inside = np.zeros((len(cores), len(CONTEXTS)), np.int64), np.zeros((len(cores), len(CONTEXTS)), bool)
     acc, power = np.zeros(len(cores), np.uint64), np.uint64(1)
     with np.errstate(over="ignore"):
@@ -208,11 +219,11 @@ def _endings(vocabulary: Vocabulary, cores: list[str], partial: np.ndarray) -> t
             if q in CONTEXTS:
                 i = CONTEXTS.index(q)
                 keys[:, i], inside[:, i] = _mixed(acc, q).view(np.int64), open_ & (since >= q - 1) & (count >= q)
-    return open_, keys, inside, h[last]
+    return known, open_, keys, inside, h[last]
 
 
 #: Characters at the end of a text that are read for its last words; the whole text is read where they hold too few words.
-_SPAN = 400
+_SPAN = 200
 
 
 def _tails(kind: pa.DataType):
@@ -224,10 +235,10 @@ def _tails(kind: pa.DataType):
             ids, sources, texts = zip(*rows)
             cores = [core_text(t) for t in texts]
             partial = np.array([len(c) > _SPAN for c in cores])
-            open_, keys, inside, last = _endings(vocabulary, [c[-_SPAN:] for c in cores], partial)
-            short = np.flatnonzero(partial & ~inside[:, -1])  # an end or too few words among the last characters: looked at in full
+            known, open_, keys, inside, last = _endings(vocabulary, [c[-_SPAN:] for c in cores], partial)
+            short = np.flatnonzero(~known)
             if len(short):
-                open_[short], keys[short], inside[short], last[short] = _endings(vocabulary, [cores[i] for i in short.tolist()], np.zeros(len(short), bool))
+                _, open_[short], keys[short], inside[short], last[short] = _endings(vocabulary, [cores[i] for i in short.tolist()], np.zeros(len(short), bool))
             own = [xxhash.xxh3_64_intdigest(c) - (1 << 63) for c in cores]
             size = np.array([lengths(t) for t in texts], np.int32)
             q = np.broadcast_to(np.array(CONTEXTS, np.int32), keys.shape)
