@@ -13,14 +13,16 @@ YES = ["true", "1", "1.0", "да", "yes", "есть", "имеется"]
 NO = ["false", "0", "0.0", "нет", "no", "нету", "отсутствует"]
 NO_VALUE = ["", "-", "–", "—", "−", "n/a", "na", "неизвестно", "не известно", "не указано", "не указан", "не указана", "нет данных", "unknown", "none", "null"]
 
+# Every kind of blank that counts as one.
+BLANKS = " \t\n\x0b\f\r\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u202f\u2060\u3000\ufeff"
 _BLANK = r"\s\u00A0\u2000-\u200B\u202F\u2060\u3000\uFEFF"
-_EDGE = rf"^[{_BLANK}]+|[{_BLANK}]+$"
 _NUMBER = rf"^([+-]?\d+(?:[{_BLANK}]+\d+)*(?:[.,]\d+)?(?:[eE][+-]?\d+)?)[{_BLANK}]*(?:[\p{{L}}°%$€₽][^\d,;]*)?$"
+_DATE = r"^(?:\d{4}[-./]\d{1,2}[-./]\d{1,2}|\d{1,2}[-./]\d{1,2}[-./]\d{4})$"
 
 
 def trimmed(c: Column) -> Column:
     """Text without outer blanks of any kind (no-break blanks too)."""
-    return F.regexp_replace(c, _EDGE, "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def folded(c: Column) -> Column:
@@ -36,8 +38,7 @@ def has_value(c: Column) -> Column:
 def read_number(c: Column) -> Column:
     """A number, maybe with a unit after it, blanks between digits, a decimal comma. Ranges, lists and words are NULL."""
     body = F.regexp_extract(trimmed(c), _NUMBER, 1)
-    plain = F.translate(F.regexp_replace(body, rf"[{_BLANK}]", ""), ",", ".")
-    return F.when(body != "", plain).try_cast("double")
+    return F.nullif(F.translate(body, "," + BLANKS, "."), F.lit("")).try_cast("double")
 
 
 def read_integer(c: Column) -> Column:
@@ -54,10 +55,11 @@ def read_boolean(c: Column) -> Column:
 def read_date(c: Column) -> Column:
     """A real calendar day, year-month-day or day-month-year with -, . or / between."""
     t = trimmed(c)
-    ymd, dmy = r"^(\d{4})[-./](\d{1,2})[-./](\d{1,2})$", r"^(\d{1,2})[-./](\d{1,2})[-./](\d{4})$"
-    pick = lambda a, b: F.coalesce(F.nullif(F.regexp_extract(t, ymd, a), F.lit("")), F.nullif(F.regexp_extract(t, dmy, b), F.lit("")))
-    iso = F.concat_ws("-", pick(1, 3), F.lpad(pick(2, 2), 2, "0"), F.lpad(pick(3, 1), 2, "0"))
-    return F.when(t.rlike(ymd) | t.rlike(dmy), iso).try_cast("date")
+    p = F.split(F.translate(t, "./", "--"), "-")
+    first, second, third = (F.try_element_at(p, F.lit(i)) for i in (1, 2, 3))
+    year_first = F.length(first) == 4
+    day = F.concat_ws("-", F.when(year_first, first).otherwise(third), F.lpad(second, 2, "0"), F.lpad(F.when(year_first, third).otherwise(first), 2, "0"))
+    return F.when(t.rlike(_DATE), day).try_cast("date")
 
 
 READERS = {"int": read_integer, "double": read_number, "boolean": read_boolean, "date": read_date, "string": trimmed}
