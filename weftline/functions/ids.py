@@ -63,9 +63,24 @@ def hash_rank(key: Column | str, seed: int = 0) -> Column:
     return _md5_number(F.concat(F.lit(f"{seed}:"), _c(key).cast("string"))) / F.lit(float(1 << 52))
 
 
+def blake_number(text: Column) -> Column:
+    """An 8-byte blake2b digest as an unsigned number."""
+    return F.conv(blake_hex(text, 8), 16, 10).cast("decimal(20,0)")
+
+
 def blake_rank(key: Column | str, seed: int = 0) -> Column:
     """``hash_rank`` over an 8-byte blake2b digest, for parity with stored splits."""
-    return F.conv(blake_hex(F.concat(F.lit(f"{seed}:"), _c(key).cast("string")), 8), 16, 10).cast("decimal(20,0)").cast("double") / F.lit(2.0**64)
+    return blake_number(F.concat(F.lit(f"{seed}:"), _c(key).cast("string"))).cast("double") / F.lit(2.0**64)
+
+
+def blake_shard(key: Column | str, shards: int) -> Column:
+    """``shard_of`` over an 8-byte blake2b digest, for parity with stored stage outputs."""
+    return (blake_number(_c(key).cast("string")) % F.lit(shards)).cast("int")
+
+
+def blake_seed(pair: Column | str, base: int = 0) -> Column:
+    """``pair_seed`` over an 8-byte blake2b digest, for parity with stored metrics."""
+    return (blake_number(F.concat(F.lit(f"{base}:"), _c(pair).cast("string"))) % F.lit((1 << 63) - 1).cast("decimal(20,0)")).cast("long")
 
 
 def shard_of(key: Column | str, shards: int) -> Column:

@@ -16,15 +16,12 @@ def annotate_copies(df: DataFrame, content: str = "content_md5", design: str = "
 
     A content found in several categories, or as product frame under ``template_designs`` designs or
     more, is a template; a label holds if only one design has the content; the first row by item,
-    branch, order and key is canonical. Counts per content are aggregated
-    and joined back, so a banner in a third of all rows is no hot window: distinct (content, design)
-    and (content, category) pairs are counted, and the canonical row is a minimum.
+    branch, order and key is canonical. All facts of a content come from one two-level aggregate (first per content, design and category,
+    then per content) and are joined back, so a banner in a third of all rows is no hot window.
     Rows with NULL content get NULL counts, no template, no label and are not canonical.
     """
-    d = df.groupBy(content, design).agg(F.lit(1)).groupBy(F.col(content).alias("__c1")).agg(F.count(design).alias("dup_designs"))
-    c = df.groupBy(content, category).agg(F.lit(1)).groupBy(F.col(content).alias("__c2")).agg(F.count(category).alias("__cats"))
-    first = df.groupBy(F.col(content).alias("__c3")).agg(F.min(F.struct(item, branch, order, key)).alias("__first"))
-    facts = d.join(c, F.col("__c1") == F.col("__c2")).join(first, F.col("__c1") == F.col("__c3")).drop("__c2", "__c3")
+    combinations = df.filter(F.col(content).isNotNull()).groupBy(F.col(content).alias("__c1"), F.col(design).alias("__d"), F.col(category).alias("__k")).agg(F.min(F.struct(item, branch, order, key)).alias("__first"))
+    facts = combinations.groupBy("__c1").agg(F.countDistinct("__d").alias("dup_designs"), F.countDistinct("__k").alias("__cats"), F.min("__first").alias("__first"))
     out = df.join(facts, F.col(content) == F.col("__c1"), "left")
     template = (F.col("__cats") > 1) | ((F.col(branch) == product) & (F.col("dup_designs") >= template_designs))
     out = out.withColumn("is_template", F.coalesce(template, F.lit(False)))

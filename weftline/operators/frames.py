@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.functions import pixels
+from weftline.functions import images, pixels
 
 _QC = ["sharpness", "brightness", "contrast", "border_mean", "border_std", "white_frac"]
 
@@ -38,12 +40,19 @@ def frame_features(df: DataFrame, key: str = "image_id", content: str = "content
 
 
 def _label_map(r: dict) -> np.ndarray | None:
+    """The label map of a row: a PNG file, or ``height`` x ``width`` bytes."""
     p, h, w = r["parse"], r["height"], r["width"]
+    if p is not None and p[:4] == b"\x89PNG":
+        try:
+            m = images.png_array(p)
+            return m if m.ndim == 2 else None
+        except (ValueError, TypeError, zlib.error, struct.error):
+            return None
     return None if p is None or not h or not w or len(p) != h * w else np.frombuffer(p, np.uint8).reshape(h, w)
 
 
-def agnostic_masks(df: DataFrame, key: str = "image_id") -> DataFrame:
-    """``mask`` (bytes) of frames with ``parse`` (label bytes, row by row), ``height``, ``width``, ``category_group`` and, if they have
+def agnostic_masks(df: DataFrame, key: str = "image_id", png: bool = False) -> DataFrame:
+    """``mask`` (bytes, or a PNG file) of frames with ``parse`` (label bytes, row by row, or a PNG file), ``height``, ``width``, ``category_group`` and, if they have
     ``keypoints`` (map joint -> [x, y]) and ``scores``, without face and hands. NULL for a missing or misshapen label map.
     """
     refine = {"keypoints", "scores"} <= set(df.columns)
@@ -56,7 +65,7 @@ def agnostic_masks(df: DataFrame, key: str = "image_id") -> DataFrame:
                 m = None if p is None else pixels.agnostic_mask(p, r["category_group"])
                 if m is not None and refine and r["keypoints"] and r["scores"]:
                     m = pixels.refine_mask(m, p, dict(r["keypoints"]), dict(r["scores"]))
-                out.append(None if m is None else m.tobytes())
+                out.append(None if m is None else images.png_bytes(m) if png else m.tobytes())
             yield pa.RecordBatch.from_arrays([b[key], pa.array(out, pa.binary())], [key, "mask"])
 
     cols = [key, "parse", "height", "width", "category_group", *(["keypoints", "scores"] if refine else [])]
@@ -64,7 +73,7 @@ def agnostic_masks(df: DataFrame, key: str = "image_id") -> DataFrame:
 
 
 def mask_measures(df: DataFrame, key: str = "image_id", to_height: int = 64, to_width: int = 48) -> DataFrame:
-    """Load masks (``mask`` bytes, ``height``, ``width``) at a common size: share covered and box of what is set (NULL when nothing is)."""
+    """Load masks (``mask`` bytes or a PNG file, ``height``, ``width``) at a common size: share covered and box of what is set (NULL when nothing is)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.nulls import known
-from weftline.functions.vectors import dot
-from weftline.operators.ranking import average_rank, exact_quantiles, percent_rank_average
+from weftline.operators.ranking import counted_values, exact_quantiles, percent_rank_average
 
 
 def reference_bank(df: DataFrame, item: str, vector: str, is_reference: str) -> DataFrame:
@@ -19,14 +22,39 @@ def bank_sizes(bank: DataFrame) -> DataFrame:
     return bank.groupBy("bank_item").agg(F.count(F.lit(1)).alias("vectors"))
 
 
-def max_similarity(queries: DataFrame, bank: DataFrame, key: str, item: str, vector: str, out: str = "garment_sim") -> DataFrame:
+#: Vectors of one item that a task multiplies at a time.
+BLOCK = 512
+
+
+def _blocks(rows: DataFrame, item: str, vector: str, key: str | None, block: int) -> DataFrame:
+    """Rows of ``item`` packed into blocks of about ``block`` vectors of one length: ``__item``, ``__dim``, ``vectors`` (and ``keys``)."""
+    sized = rows.select(F.col(item).alias("__item"), F.size(vector).alias("__dim"), F.col(vector).alias("v"), *([F.col(key).alias("k")] if key else []))
+    n = sized.groupBy(F.col("__item").alias("i")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    dealt = sized.join(n, F.col("__item") == F.col("i")).withColumn("__b", F.pmod(F.xxhash64(*(["k"] if key else ["v"])), F.col("blocks")))
+    lists = [F.collect_list("v").alias("vectors"), F.collect_list("k").alias("keys")] if key else [F.collect_set("v").alias("vectors")]
+    return dealt.groupBy("__item", "__dim", "__b").agg(*lists).drop("__b")
+
+
+def _products(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        for r in range(b.num_rows):
+            keys = b["keys"].slice(r, 1).flatten()
+            q, ref = (np.array(b[c][r].as_py(), np.float64) for c in ("vectors", "refs"))
+            best = np.where(np.isnan(x := q @ ref.T), -np.inf, x).max(1)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(best, mask=np.isneginf(best))], ["k", "best"])
+
+
+def max_similarity(queries: DataFrame, bank: DataFrame, key: str, item: str, vector: str, out: str = "garment_sim", block: int = BLOCK) -> DataFrame:
     """Greatest inner product of each query with the references of its own item; NULL without vector or reference.
 
-    An equi-join on the item with the maximum taken map-side; a hot item is
-    split by the adaptive skew join, and nothing is gathered per item.
+    Queries and references of an item are packed into blocks of about ``block`` vectors; blocks of one item and vector length meet
+    and are multiplied as matrices, so a hot item is many pairs of blocks over many tasks, and the maximum per query
+    is taken over its blocks. Equal references count once.
     """
-    q = queries.select(F.col(key).alias("__k"), F.col(item).alias("__i"), F.col(vector).alias("__v")).filter(F.size("__v") > 0)
-    best = q.join(bank, F.col("__i") == F.col("bank_item")).groupBy("__k").agg(F.max(dot("__v", "bank_vector")).alias(out))
+    q = _blocks(queries.filter(F.size(vector) > 0).filter(F.col(item).isNotNull()), item, vector, key, block)
+    refs = _blocks(bank, "bank_item", "bank_vector", None, block).select(F.col("__item").alias("__ri"), F.col("__dim").alias("__rd"), F.col("vectors").alias("refs"))
+    met = q.join(refs, (F.col("__item") == F.col("__ri")) & (F.col("__dim") == F.col("__rd"))).select("keys", "vectors", "refs")
+    best = met.mapInArrow(_products, f"k {queries.schema[key].dataType.simpleString()}, best double").groupBy(F.col("k").alias("__k")).agg(F.max("best").alias(out))
     return queries.join(best, F.col(key) == F.col("__k"), "left").drop("__k")
 
 
@@ -55,10 +83,9 @@ def auc(df: DataFrame, positive: str, score: str, group: list[str] | None = None
     if group:
         raise ValueError("compute groups one by one: ranks are global")
     rows = df.select(F.col(positive).cast("boolean").alias("__p"), known(score).alias("__s")).filter("__p is not null and __s is not null")
-    ranked = average_rank(rows, "__s", "__r")
-    n_pos, n_neg = F.sum(F.col("__p").cast("long")), F.sum((~F.col("__p")).cast("long"))
-    up = F.sum(F.when(F.col("__p"), F.col("__r")))
-    a = ranked.agg(F.coalesce(n_pos, F.lit(0)).alias("n_pos"), F.coalesce(n_neg, F.lit(0)).alias("n_neg"), up.alias("__up"))
+    values = counted_values(rows, "__s", counts={"pos": F.sum(F.col("__p").cast("long"))})
+    rank = F.col("before") + (F.col("n") + 1) / 2.0
+    a = values.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum(F.col("n") - F.col("pos")), F.lit(0)).alias("n_neg"), F.sum(F.col("pos") * rank).alias("__up"))
     value = (F.col("__up") - F.col("n_pos") * (F.col("n_pos") + 1) / 2) / (F.col("n_pos") * F.col("n_neg"))
     return a.select(F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), value).alias("auc"), "n_pos", "n_neg")
 
@@ -89,9 +116,14 @@ def threshold_sweep(df: DataFrame, positive: str, score: str, steps: int = 40, l
     return df.sparkSession.createDataFrame(out, "step int, threshold double, kept long, precision double, recall double")
 
 
-def filter_quality(marked: DataFrame, positive: str, score: str, threshold: float) -> DataFrame:
-    """tp, fp, fn, precision and recall of ``score >= threshold`` on rows with known class and score."""
-    rows = marked.select(F.col(positive).cast("boolean").alias("p"), (known(score) >= threshold).alias("k")).filter("p is not null and k is not null")
+def filter_quality(marked: DataFrame, positive: str, score: str, threshold: float | None = None, quantile_of: DataFrame | None = None, q: float = 0.45) -> DataFrame:
+    """tp, fp, fn, precision and recall of ``score >= threshold`` on rows with known class and score.
+
+    Without ``threshold`` it is the exact ``q`` quantile of the scores of ``quantile_of`` (the table that is filtered; ``marked`` by default).
+    """
+    if threshold is None:
+        threshold = quantile(marked if quantile_of is None else quantile_of, score, q)
+    rows = marked.select(F.col(positive).cast("boolean").alias("p"), (known(score) >= F.lit(threshold).cast("double")).alias("k")).filter("p is not null and k is not null")
     n = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("long")
     a = rows.agg(n(F.col("k") & F.col("p")).alias("tp"), n(F.col("k") & ~F.col("p")).alias("fp"), n(~F.col("k") & F.col("p")).alias("fn"))
     return a.select("tp", "fp", "fn", *_quality(F.col("tp"), F.col("fp"), F.col("fn")))

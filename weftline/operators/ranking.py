@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.plans.bounded import small_side
 from weftline.plans.durable import materialize
 
 
@@ -38,34 +39,49 @@ def global_index(df: DataFrame, order: list[str], out: str = "index") -> DataFra
 
     Rows are range-partitioned, written once, and numbered inside their range; the offsets of the
     ranges are a table of one row per range. NULLs come first. Rows with equal
-    ``order`` values get positions in undefined mutual order.
+    ``order`` values are told apart by a hash of the whole row, so they spread over ranges too; rows equal in all
+    columns get positions in undefined mutual order.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part, at, off = f"__part_{out}", f"__at_{out}", f"__off_{out}"
-    rows = materialize(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()), "ranges")
+    part, at, off, tie = (f"__{x}_{out}" for x in ("part", "at", "off", "tie"))
+    rows = df.withColumn(tie, F.xxhash64(*[F.col(f"`{c}`") for c, kind in df.dtypes if "map<" not in kind]))
+    rows = materialize(rows.repartitionByRange(n, *order, tie).withColumn(part, F.spark_partition_id()), "ranges")
     counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("n"))
     offsets = counts.select(F.col(part).alias(part + "2"), F.coalesce(F.sum("n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(off))
-    numbered = rows.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(*order)) - 1)
+    numbered = rows.withColumn(at, F.row_number().over(Window.partitionBy(part).orderBy(*order, tie)) - 1)
     joined = numbered.join(F.broadcast(offsets), F.col(part) == F.col(part + "2"))  # one row per range
-    return joined.withColumn(out, (F.col(off) + F.col(at)).cast("long")).drop(part, at, off, part + "2")
+    return joined.withColumn(out, (F.col(off) + F.col(at)).cast("long")).drop(part, at, off, part + "2", tie)
+
+
+def counted_values(df: DataFrame, value: str, group: list[str] | None = None, counts: dict[str, Column] | None = None) -> DataFrame:
+    """Distinct known values in order: ``group``, ``value``, ``n`` (rows), ``before`` (rows with smaller values, over the whole table), and further ``counts``.
+
+    Only distinct values are range-partitioned and numbered, with their counts made map-side, so a value that most rows
+    share is one row. NULL and NaN are left out. Written once.
+    """
+    group = group or []
+    known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
+    rows = df.withColumn("__value", known).filter("__value is not null")
+    per = rows.groupBy(*group, F.col("__value").alias("value")).agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in (counts or {}).items()])
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [*group, "value"]
+    ranges = materialize(per.repartitionByRange(parts, *order).withColumn("__i", F.spark_partition_id()), "values")
+    ahead = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ranges.groupBy(F.col("__i").alias("__r")).agg(F.sum("n").alias("__n")).select("__r", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__o"))  # one row per range
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("__i").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranges.withColumn("__in", inside).join(F.broadcast(offsets), F.col("__i") == F.col("__r"))
+    return placed.withColumn("before", F.col("__o") + F.col("__in")).drop("__i", "__r", "__o", "__in")
 
 
 def average_rank(df: DataFrame, value: str, out: str = "avg_rank") -> DataFrame:
     """1-based rank of ``value`` with ties at their mean, over the rows where it is known; NULL (and NaN) stay unranked.
 
-    Only distinct values with their counts are ordered (range-partitioned), so
-    a value that a third of all rows share is one row there.
+    Ranks are those of the distinct values (``counted_values``), joined back.
     """
-    v, c, i = f"__v_{out}", f"__c_{out}", f"__i_{out}"
+    v, r = f"__v_{out}", f"__r_{out}"
     known = F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double"))
-    counts = df.select(known.alias(v)).filter(F.col(v).isNotNull()).groupBy(v).agg(F.count(F.lit(1)).alias(c))
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = materialize(counts.repartitionByRange(n, v).withColumn(i, F.spark_partition_id()), "values")
-    before = Window.orderBy(i).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ranges.groupBy(i).agg(F.sum(c).alias("n")).select(F.col(i).alias("__r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
-    inside = F.coalesce(F.sum(c).over(Window.partitionBy(i).orderBy(v).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ranges.withColumn("__in", inside).join(F.broadcast(offsets), F.col(i) == F.col("__r")).select(v, (F.col("__o") + F.col("__in") + (F.col(c) + 1) / 2.0).alias(out))
-    return df.join(ranked, known == F.col(v), "left").drop(v)
+    ranked = counted_values(df.select(known.alias("v")), "v").select(F.col("value").alias(v), (F.col("before") + (F.col("n") + 1) / 2.0).alias(r))
+    return df.join(ranked, known == F.col(v), "left").withColumn(out, F.col(r)).drop(v, r)
 
 
 def percent_rank_average(df: DataFrame, value: str, out: str = "pct") -> DataFrame:
@@ -77,17 +93,21 @@ def percent_rank_average(df: DataFrame, value: str, out: str = "pct") -> DataFra
 def exact_quantiles(df: DataFrame, value: str, at: list[float], group: list[str] | None = None) -> DataFrame:
     """Exact quantiles by linear interpolation, as columns ``group``, ``q``, ``value``.
 
-    Values are ordered once by range partitioning; only the two rows beside each quantile
-    are looked at, so no group is held in one task. NULL and NaN are
-    skipped; a group without values has no rows.
+    Distinct values are ordered with their counts (``counted_values``); the two values beside each quantile
+    are those whose rows hold its places, so no group is held in one task. NULL and NaN are
+    skipped; a group without values has no rows. NULL is a group of its own.
     """
     group = group or []
-    known = df.select(*group, F.nanvl(F.col(value).cast("double"), F.lit(None).cast("double")).alias("__v")).filter("__v is not null")
-    rows = materialize(global_index(known, [*group, "__v"], "__i"), "ordered")
-    size = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"), F.min("__i").alias("__first"))
+    g = [f"__g{k}" for k in range(len(group))]
+    values = counted_values(df.select(*[F.col(c).alias(x) for c, x in zip(group, g)], F.col(value).alias("__x")), "__x", g)
+    size = values.groupBy(*g).agg(F.sum("n").alias("__n"), F.min("before").alias("__first"))
     place = F.col("q") * (F.col("__n") - 1)
-    spots = size.filter("__n > 0").withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in at])))
-    spots = spots.select(*[F.col(g).alias(f"__g{k}") for k, g in enumerate(group)], "q", (place - F.floor(place)).alias("__w"), F.explode(F.array_distinct(F.array(F.floor(place) + F.col("__first"), F.ceil(place) + F.col("__first")))).alias("__at"))
-    hit = spots.join(rows.select("__i", "__v"), F.col("__at") == F.col("__i"))
-    out = hit.groupBy(*[F.col(f"__g{k}").alias(g) for k, g in enumerate(group)], "q").agg((F.min("__v") + F.max("__w") * (F.max("__v") - F.min("__v"))).alias("value"))
-    return out
+    spots = size.filter("__n > 0").withColumn("q", F.explode(F.array(*[F.lit(float(q)) for q in at]))).select(*[F.col(x).alias(f"{x}s") for x in g], "q", "__first", place.alias("place"))
+    same = F.lit(True)
+    for x in g:
+        same = same & F.col(x).eqNullSafe(F.col(f"{x}s"))
+    low, high = F.floor("place") + F.col("__first"), F.ceil("place") + F.col("__first")
+    holds = lambda p: (F.col("before") <= p) & (p < F.col("before") + F.col("n"))
+    met = values.join(small_side(spots), same & (holds(low) | holds(high)))
+    ends = met.groupBy(*g, "q").agg(F.min(F.when(holds(low), F.col("value"))).alias("lo"), F.max(F.when(holds(high), F.col("value"))).alias("hi"), F.max(F.col("place") - F.floor("place")).alias("w"))
+    return ends.select(*[F.col(x).alias(c) for c, x in zip(group, g)], "q", (F.col("lo") + F.col("w") * (F.col("hi") - F.col("lo"))).alias("value"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from weftline.functions.ids import hash_rank
 from weftline.operators.ranking import global_index
 from weftline.plans.bounded import small_side
+from weftline.sources.writers import write_text
 
 SHARES = {"train": 0.70, "val": 0.15, "test": 0.15}
 
@@ -61,18 +62,44 @@ def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def certified_json(groups: DataFrame, path: str | None = None, group: str = "split_group", split: str = "split", **facts) -> dict:
-    """Assignment with its own sha256 as a JSON document (keys sorted, two blanks indent), written to ``path`` if given.
+    """Assignment with its own sha256 as a JSON document (keys sorted), streamed to ``path`` if given; returns it without the assignment.
 
-    The document is made on the driver and meant for published splits; it holds one entry per group.
+    The hash is that of the same document without the hash, in one line, as ``json.dumps`` with sorted keys writes it. Groups are sorted by
+    Spark and pass the driver one partition at a time, so a document of any size can be written. NULL groups are left out.
     """
-    rows = {r[0]: r[1] for r in groups.select(group, split).filter(F.col(group).isNotNull()).toLocalIterator()}
-    counts: dict[str, int] = {}
-    for v in rows.values():
-        counts[v] = counts.get(v, 0) + 1
-    body = {**facts, "n_groups": len(rows), "counts": counts, "assignment": rows}
-    text = json.dumps(body, ensure_ascii=False, sort_keys=True)
-    body["content_sha256"] = hashlib.sha256(text.encode()).hexdigest()
+    counts = {r[0]: r[1] for r in groups.filter(F.col(group).isNotNull()).groupBy(split).agg(F.count(F.lit(1))).collect()}
+    rows = groups.filter(F.col(group).isNotNull()).groupBy(F.col(group).alias("g")).agg(F.max(split).alias("s"))
+    body = {**facts, "n_groups": sum(counts.values()), "counts": counts}
+    sha = hashlib.sha256()
+    show = lambda v: json.dumps(v, ensure_ascii=False, sort_keys=True)
+
+    def pieces():
+        mark = "{"
+        for k in sorted([*body, "assignment", "content_sha256"]):
+            if k == "content_sha256":
+                continue
+            sha.update(f"{'{' if mark == '{' else ', '}{show(k)}: ".encode())
+            yield f"{mark}\n  {show(k)}: "
+            mark = ","
+            if k != "assignment":
+                sha.update(show(body[k]).encode())
+                yield show(body[k])
+                continue
+            inner = "{"
+            for r in rows.orderBy("g").toLocalIterator():
+                entry = f"{show(str(r['g']))}: {show(r['s'])}"
+                sha.update(f"{'{' if inner == '{' else ', '}{entry}".encode())
+                yield f"{inner}\n    {entry}"
+                inner = ","
+            sha.update(b"}" if inner == "," else b"{}")
+            yield "\n  }" if inner == "," else "{}"
+        sha.update(b"}")
+        body["content_sha256"] = sha.hexdigest()
+        yield f',\n  "content_sha256": {show(body["content_sha256"])}\n}}\n'
+
     if path:
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(body, f, ensure_ascii=False, sort_keys=True, indent=2)
+        write_text(pieces(), path, groups.sparkSession)
+    else:
+        for _ in pieces():
+            pass
     return body

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.nulls import known
-from weftline.operators.ranking import average_rank, exact_quantiles, global_index
+from weftline.operators.ranking import counted_values, exact_quantiles, global_index
 from weftline.plans.durable import materialize
 
 
@@ -43,22 +43,23 @@ def paired_compare(a: DataFrame, b: DataFrame, key: str, metric: str, group: lis
 def signed_rank(a: DataFrame, b: DataFrame, key: str, metric: str, least: int = 10) -> DataFrame:
     """Wilcoxon's signed-rank test of b - a over common keys: ``n`` (differences that aren't 0), ``w_plus``, ``z``, ``p``.
 
-    ``p`` is the two-sided normal approximation with correction for ties, NULL under ``least`` differences. Ranks are
-    average ranks over distinct absolute differences, so nothing is sorted in one task.
+    ``p`` is the two-sided normal approximation with correction for ties, NULL under ``least`` differences. Ranks are those of
+    the distinct absolute differences with their counts, so nothing is sorted in one task and the runs are joined once.
     """
     left = a.select(key, known(metric).alias("__a")).filter("__a is not null")
     right = b.select(F.col(key).alias("__k"), known(metric).alias("__b")).filter("__b is not null")
     d = left.join(right, F.col(key) == F.col("__k")).select((F.col("__b") - F.col("__a")).alias("d")).filter("d <> 0").withColumn("m", F.abs("d"))
-    ranked = average_rank(d, "m", "r")
-    total = ranked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w"))
-    tied = d.groupBy("m").agg(F.count(F.lit(1)).cast("double").alias("t")).agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0.0)).alias("ties"))
-    (n, w), ties = total.first(), tied.first()[0]
+    t = counted_values(d, "m", counts={"up": F.count_if(F.col("d") > 0)})
+    x = F.col("n").cast("double")
+    rank = F.col("before") + (x + 1) / 2
+    row = t.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * rank), F.lit(0.0)).alias("w"), F.coalesce(F.sum(x * x * x - x), F.lit(0.0)).alias("ties")).first()
+    n, w, ties = row
     z = p = None
     spread = n * (n + 1) * (2 * n + 1) / 24 - ties / 48
     if n >= least and spread > 0:
         z = (w - n * (n + 1) / 4) / math.sqrt(spread)
         p = math.erfc(abs(z) / math.sqrt(2))
-    return a.sparkSession.createDataFrame([(n, w, z, p)], "n long, w_plus double, z double, p double")
+    return a.sparkSession.createDataFrame([(n, float(w), z, p)], "n long, w_plus double, z double, p double")
 
 
 def _interval(key: str, value: str, n_boot: int, seed: int, level: float):

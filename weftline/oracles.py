@@ -63,7 +63,7 @@ detected as (select vec_id, count(*) filter (where ok) n_persons, round(coalesce
 SCORES = """js as (select vec_id, case when v > 0.02 then v else 0 end v from (select vec_id, abs(embedding[k + 1]::double) * 4 v from embeddings, range(4) t(k))),
 torso as (select vec_id, min(v) >= 0.3 visible, round(min(v), 5) torso_min from js group by vec_id)"""
 SIM = """sims as (select q.vec_id, q.label, max(list_dot_product(q.embedding::double[], r.embedding::double[])) s from embeddings q
- join embeddings r on q.label = r.label and r.vec_id % 5 = 0 where q.vec_id % 5 <> 0 group by 1, 2)"""
+ join embeddings r on q.label = r.label and r.embedding[1] > 0 where not q.embedding[1] > 0 group by 1, 2)"""
 MERGED = """firsts as (select user_id, trim(event_type) event_type, trim(props) v, min(event_id) o from events where trim(event_type) <> '' and trim(props) <> '' group by all),
 merged as (select user_id, event_type, string_agg(v, '; ' order by o, v) props from firsts group by all)"""
 
@@ -132,7 +132,7 @@ SQL = {
     "dup_annotate": f"with {ANNOTATED} select image_id, dup_designs, is_template, label_ok, is_canonical from annotated",
     "working_set": f"with {ANNOTATED} select image_id, sku_id, category_group from annotated where read_ok and is_canonical and label_ok and not is_template and category_group in ('upper', 'lower', 'dress', 'outer')",
     "working_set_counts": f"with {ANNOTATED} select category_group, branch, count(*) frames, count(distinct design_id) designs from annotated where read_ok and is_canonical and label_ok and not is_template and category_group in ('upper', 'lower', 'dress', 'outer') group by 1, 2",
-    "pending_rows": f"with {FRAMES} select image_id from frames where {_N.format('image_id')} % 4 = 1 and not coalesce(order_idx % 2 = 0, false)",
+    "pending_rows": f"with {FRAMES} select image_id, ({_N.format('image_id')} % 4)::int shard from frames where phash is null",
     "missing_inputs": f"with {FRAMES} select image_id, 'agnostic' as missing from frames where not coalesce(width > 500, false) union all select image_id, 'parse' from frames where not coalesce(height > 600, false) union all select image_id, 'pose' from frames where not coalesce(branch = 'review', false)",
     "qc_join": f"with {FRAMES} select image_id, case when read_ok then sharpness * 2 end sharpness from frames",
     "design_components": f"with recursive {ANNOTATED}, {LINKS} select design_id, split_group from components",
@@ -144,13 +144,13 @@ SQL = {
     "crosstab_split": f"with recursive {ASSIGNED} select i.category_group, count(*) filter (where a.split = 'train') train, count(*) filter (where a.split = 'val') val, count(*) filter (where a.split = 'test') test from gitems i left join assigned a on a.split_group = i.split_group group by 1",
     "persons_crosstab": f"with {PAIRS}, x as (select branch, least(n_persons, 3)::int k from pairs) select branch, count(*) filter (where k = 0) \"0\", count(*) filter (where k = 1) \"1\", count(*) filter (where k = 2) \"2\", count(*) filter (where k = 3) \"3\" from x group by 1",
     "quality_percentiles": f"with {FRAMES} select branch, " + ", ".join(f"round(quantile_cont(sharpness::double, {q}::double), 1) p{n}" for q, n in (("0.05", "05"), ("0.1", "10"), ("0.5", "50"), ("0.9", "90"))) + " from frames group by 1",
-    "reference_bank": "select label bank_item, count(*) vectors from embeddings where vec_id % 5 = 0 group by 1",
+    "reference_bank": "select label bank_item, count(*) vectors from embeddings where embedding[1] > 0 group by 1",
     "max_similarity": f"with {SIM} select vec_id, round(s, 5) garment_sim from sims",
     "l2_normalise": "select vec_id, round(embedding[1]::double * 3 / sqrt(list_sum(list_transform(embedding, lambda x: (x::double * 3) * (x::double * 3)))), 5) as first from embeddings",
     "torso_visible": f"with {SCORES} select vec_id, visible, torso_min from torso",
     "largest_box": f"with {DET} select vec_id, x0, y1 from (select *, row_number() over (partition by vec_id order by (x1 - x0) * (y1 - y0) desc, x0 desc, y0 desc, x1 desc, y1 desc) r from det) where r = 1",
     "detect_summary": f"with {DET} select * from detected",
-    "collect_signals": f"with {DET}, {SCORES} select e.vec_id, d.n_persons::double n_persons, d.area_frac, t.torso_min from embeddings e left join detected d on d.vec_id = e.vec_id and e.vec_id % 3 <> 0 left join torso t on t.vec_id = e.vec_id and e.vec_id % 2 = 0",
+    "collect_signals": f"with {DET}, {SCORES} select e.vec_id, d.n_persons::double n_persons, d.area_frac, t.torso_min from embeddings e left join detected d on d.vec_id = e.vec_id and d.n_persons > 0 left join torso t on t.vec_id = e.vec_id and t.visible",
     "pct_rank": f"with {PAIRS} select pair_id, case when garment_sim is not null then round({_pct('garment_sim')}, 9) end pct from pairs",
     "colour_rank_lowest": f"with {PAIRS}, x as (select pair_id, coalesce(area_frac, -1e9) a, coalesce(torso_min, -1e9) b from pairs) select pair_id, round({_pct('a')} + {_pct('b')}, 9) colour_rank from x",
     "colour_rank_skip": f"with {PAIRS} select pair_id, round(coalesce(case when area_frac is not null then {_pct('area_frac')} end, 0) + coalesce(case when torso_min is not null then {_pct('torso_min')} end, 0), 9) colour_rank from pairs",
@@ -160,7 +160,7 @@ SQL = {
     "threshold_sweep": f"""{_marked()}, q as (select unnest(range(40))::int step, unnest(quantile_cont(s::double, [{', '.join(f'{0.9 * i / 39!r}::double' for i in range(40))}])) t from x)
  select step, round(t, 6) threshold, count(*) filter (where s >= t) kept, round(count(*) filter (where s >= t and p) / count(*) filter (where s >= t), 6) as precision,
  round(count(*) filter (where s >= t and p) / count(*) filter (where p), 6) recall from q, x group by step, t having count(*) filter (where s >= t and p) > 0""",
-    "filter_quality": f"{_marked()}, c as (select count(*) filter (where s >= 0.45 and p) tp, count(*) filter (where s >= 0.45 and not p) fp, count(*) filter (where s < 0.45 and p) fn from x) select tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) recall from c",
+    "filter_quality": f"{_marked()}, t as (select quantile_cont(s::double, 0.45::double) t from x), c as (select count(*) filter (where s >= t and p) tp, count(*) filter (where s >= t and not p) fp, count(*) filter (where s < t and p) fn from x, t) select tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) recall from c",
     "flat_candidates": f"with {FLAT} select image_id, sku_id from flat",
     "best_garment": f"with {FLAT} select sku_id, garment_image_id, garment_rel_path from garments",
     "cascade_funnel": f"""with {WILD}, n as (select count(*) s0, count(*) filter (where c1) s1, count(*) filter (where c1 and c2) s2, count(*) filter (where c1 and c2 and c3) s3,

@@ -41,7 +41,8 @@ def shared_root(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/weftline-{sc.applicationId}"
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) objects of a path."""
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
@@ -49,7 +50,7 @@ def _filesystem(spark: SparkSession, path: str):
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether the file system has the path. A fault of the file system is an error, not a "no"."""
-    fs, p = _filesystem(spark, path)
+    fs, p = filesystem(spark, path)
     return fs.exists(p)
 
 
@@ -57,7 +58,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A path in the application's own folder of the shared folder; the folder is deleted when the session's JVM ends."""
     root = shared_root(spark)
     if root not in _marked:
-        fs, p = _filesystem(spark, root)
+        fs, p = filesystem(spark, root)
         fs.mkdirs(p)
         fs.deleteOnExit(p)
         _marked.add(root)
@@ -86,5 +87,5 @@ def release(*frames: DataFrame | None) -> None:
     for df in frames:
         path = getattr(df, "_weftline_path", None)
         if path:
-            fs, p = _filesystem(df.sparkSession, path)
+            fs, p = filesystem(df.sparkSession, path)
             fs.delete(p, True)

@@ -56,7 +56,8 @@ def _joined(s, d):
 
 
 def _annotated(s, d):
-    return copies.annotate_copies(_joined(s, d))
+    """Annotated frames, cut once: the joined frames are read for the facts of each content and for the rows."""
+    return copies.annotate_copies(materialize(_joined(s, d), "joined"))
 
 
 def _signals(s, d):
@@ -96,11 +97,11 @@ def _hamming(s, d):
 
 
 def _components(s, d):
-    return copies.linked_designs(_annotated(s, d))
+    return copies.linked_designs(materialize(_annotated(s, d).select("content_md5", "design_id", "branch", "is_template"), "annotated"))
 
 
 def _grouped_items(s, d):
-    c = _components(s, d).withColumnRenamed("design_id", "__d")
+    c = materialize(_components(s, d), "groups").withColumnRenamed("design_id", "__d")
     return _items(s, d).join(c, F.col("design_id") == F.col("__d"), "left").drop("__d")
 
 
@@ -109,8 +110,9 @@ def _assigned(s, d):
 
 
 def _split_items(s, d):
-    a = _assigned(s, d).select(F.col("split_group").alias("__g"), "split")
-    return _grouped_items(s, d).drop("split").join(a, F.col("split_group") == F.col("__g"), "left").drop("__g")
+    items = materialize(_grouped_items(s, d), "items")
+    a = splits.stratified_splits(splits.group_mode(items)).select(F.col("split_group").alias("__g"), "split")
+    return items.drop("split").join(a, F.col("split_group") == F.col("__g"), "left").drop("__g")
 
 
 def _vectors(s, d):
@@ -118,9 +120,10 @@ def _vectors(s, d):
 
 
 def _similarity(s, d):
+    """Vectors with a positive first component are references, the others queries; the label is their item."""
     v = _vectors(s, d)
-    bank = matching.reference_bank(v, "label", "embedding", "vec_id % 5 = 0")
-    return matching.max_similarity(v.filter("vec_id % 5 <> 0"), bank, "vec_id", "label", "embedding")
+    bank = matching.reference_bank(v, "label", "embedding", "embedding[0] > 0")
+    return matching.max_similarity(v.filter("not embedding[0] > 0"), bank, "vec_id", "label", "embedding")
 
 
 def _boxes(s, d):
@@ -259,7 +262,7 @@ def queries():
         "split_variant": lambda s, d: _items(s, d).select("sku_id", ids.base_title("folder").alias("base"), ids.variant_number("folder").alias("variant")),
         "design_key": lambda s, d: _items(s, d).select("sku_id", ids.design_key("folder").alias("design")),
         "path_nfc": lambda s, d: _frames(s, d).select("image_id", ids.nfc("rel_path").alias("path")),
-        "short_ids": lambda s, d: _frames(s, d).select("image_id", ids.short_id("rel_path").alias("short"), ids.blake_rank("sku_id", 20260906).alias("place")),
+        "short_ids": lambda s, d: _frames(s, d).select("image_id", ids.short_id("rel_path").alias("short"), ids.blake_rank("sku_id", 20260906).alias("place"), ids.blake_shard("image_id", 8).alias("shard"), ids.blake_seed("image_id", 3).alias("seed")),
         "aspect_ratio": lambda s, d: _frames(s, d).select("image_id", _r(vectors.aspect("width", "height")).alias("aspect")),
         "letterbox_geometry": _letterbox,
         "pixel_normalise": lambda s, d: _frames(s, d).filter("width is not null").select("image_id", _r(vectors.pixel_normalise(F.col("width") % 256)).alias("value")),
@@ -285,7 +288,7 @@ def queries():
         "dup_annotate": p(_annotated, "image_id", "dup_designs", "is_template", "label_ok", "is_canonical"),
         "working_set": lambda s, d: stages.working_set(_annotated(s, d).drop("category_group"), _items(s, d)).select("image_id", "sku_id", "category_group"),
         "working_set_counts": _entry,
-        "pending_rows": lambda s, d: stages.pending_rows(_frames(s, d), _frames(s, d).filter("order_idx % 2 = 0"), shard=1, shards=4).select("image_id"),
+        "pending_rows": lambda s, d: stages.pending_rows(_frames(s, d), _frames(s, d).filter("phash is not null")).select("image_id", ids.shard_of("image_id", 4).alias("shard")),
         "missing_inputs": lambda s, d: stages.missing_inputs(_frames(s, d), "agnostic_refined", {"agnostic": _frames(s, d).filter("width > 500"), "parse": _frames(s, d).filter("height > 600"), "pose": _frames(s, d).filter("branch = 'review'")}),
         "qc_join": lambda s, d: stages.join_features(_frames(s, d), _frames(s, d).filter("read_ok").select("image_id", (F.col("sharpness") * 2).alias("sharpness"))).select("image_id", "sharpness"),
         "design_components": _components,
@@ -299,13 +302,13 @@ def queries():
         "persons_crosstab": lambda s, d: stats.crosstab(_pairs(s, d).withColumn("persons", F.least("n_persons", F.lit(3.0)).cast("int")), ["branch"], "persons", [0, 1, 2, 3]),
         "quality_percentiles": lambda s, d: stats.group_quantiles(_frames(s, d), "branch", "sharpness", [0.05, 0.1, 0.5, 0.9]),
         # vectors
-        "reference_bank": lambda s, d: matching.bank_sizes(matching.reference_bank(_vectors(s, d), "label", "embedding", "vec_id % 5 = 0")),
+        "reference_bank": lambda s, d: matching.bank_sizes(matching.reference_bank(_vectors(s, d), "label", "embedding", "embedding[0] > 0")),
         "max_similarity": lambda s, d: _similarity(s, d).select("vec_id", _r("garment_sim", 5).alias("garment_sim")),
         "l2_normalise": lambda s, d: _vectors(s, d).select("vec_id", _r(vectors.l2_normalise(F.transform("embedding", lambda x: x.cast("double") * 3))[0], 5).alias("first")),
         "torso_visible": lambda s, d: _scores(s, d).select("vec_id", vectors.torso_visible("scores").alias("visible"), _r(vectors.torso_min("scores"), 5).alias("torso_min")),
         "largest_box": lambda s, d: _boxes(s, d).select("vec_id", vectors.largest_box(F.transform("det", lambda x: x["box"]))[0].alias("x0"), vectors.largest_box(F.transform("det", lambda x: x["box"]))[3].alias("y1")),
         "detect_summary": _detected,
-        "collect_signals": lambda s, d: stages.collect_signals(_vectors(s, d).select("vec_id"), _detected(s, d).filter("vec_id % 3 <> 0"), _scores(s, d).filter("vec_id % 2 = 0"), "vec_id").withColumn("torso_min", _r("torso_min", 5)),
+        "collect_signals": lambda s, d: stages.collect_signals(_vectors(s, d).select("vec_id"), _detected(s, d).filter("n_persons > 0"), _scores(s, d).filter(vectors.torso_visible("scores")), "vec_id").withColumn("torso_min", _r("torso_min", 5)),
         # ranks and thresholds
         "pct_rank": lambda s, d: percent_rank_average(_pairs(s, d), "garment_sim").select("pair_id", _r("pct", 9).alias("pct")),
         "colour_rank_lowest": lambda s, d: matching.colour_rank(_pairs(s, d), "area_frac", "torso_min").select("pair_id", _r("colour_rank", 9).alias("colour_rank")),
@@ -314,7 +317,7 @@ def queries():
         "auc": lambda s, d: matching.auc(_pairs(s, d).withColumn("p", F.col("branch") == "wild"), "p", "garment_sim").select(_r("auc").alias("auc"), "n_pos", "n_neg"),
         "similarity_auc": lambda s, d: matching.auc(_similarity(s, d).withColumn("p", F.col("label") < 5), "p", "garment_sim").select(_r("auc").alias("auc"), "n_pos", "n_neg"),
         "threshold_sweep": lambda s, d: matching.threshold_sweep(_pairs(s, d).withColumn("p", F.col("branch") == "wild"), "p", "garment_sim").select("step", _r("threshold").alias("threshold"), "kept", _r("precision").alias("precision"), _r("recall").alias("recall")),
-        "filter_quality": lambda s, d: matching.filter_quality(_pairs(s, d).withColumn("p", F.col("branch") == "wild"), "p", "garment_sim", 0.45).select("tp", "fp", "fn", _r("precision").alias("precision"), _r("recall").alias("recall")),
+        "filter_quality": lambda s, d: matching.filter_quality(_pairs(s, d).withColumn("p", F.col("branch") == "wild"), "p", "garment_sim").select("tp", "fp", "fn", _r("precision").alias("precision"), _r("recall").alias("recall")),
         # pairs
         "flat_candidates": lambda s, d: pairs.flat_candidates(_signals(s, d)).select("image_id", "sku_id"),
         "best_garment": lambda s, d: pairs.best_garment(pairs.flat_candidates(_signals(s, d))),

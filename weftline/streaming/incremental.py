@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.plans.durable import exists
+
 
 def run_incremental(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], key: str = "image_id", files_per_batch: int = 1000) -> None:
     """Process the files that came since the last run and append the results.
@@ -17,12 +19,9 @@ def run_incremental(spark: SparkSession, source: str, schema: str, target: str,
 
     def write(batch: DataFrame, _: int) -> None:
         rows = batch.dropDuplicates([key])
-        try:
-            done = spark.read.parquet(target).select(key)
-        except Exception:  # noqa: BLE001 - the first batch finds no table
-            done = None
-        if done is not None:
-            rows = rows.join(done, key, "left_anti")
+        if exists(spark, target):  # a fault in reading it is an error: nothing is computed again by mistake
+            kind = batch.schema[key].dataType.simpleString()
+            rows = rows.join(spark.read.schema(f"{key} {kind}").parquet(target), key, "left_anti")
         transform(rows).write.mode("append").parquet(target)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
