@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
-#: Parameters of a trained run that an evaluation must take over.
-TRAINED_KEYS = ("mask_stage", "height", "width")
+# Settings that a trained run hands on to its evaluation.
+HANDED_ON = ("mask_stage", "height", "width")
 
 
 def load_config(path: str) -> dict:
@@ -61,14 +61,29 @@ class Roots:
 def evaluation_settings(current: Mapping, snapshot: Mapping | None, trained: bool, mask_stage: str | None = None) -> tuple[dict, str]:
     """Settings for an evaluation and where they come from; the input isn't changed.
 
-    A trained run's snapshot decides mask and size; a run without one used the plain mask;
-    ``mask_stage`` may be chosen for an untrained control only.
+    | run | mask and size come from |
+    |-|-|
+    | untrained control | the current settings, or ``mask_stage`` if chosen |
+    | trained, with a snapshot | the snapshot; choosing a mask is an error |
+    | trained, without one | the current settings with the plain mask |
     """
-    out = dict(current)
-    if not trained:
-        return out | ({"mask_stage": mask_stage} if mask_stage else {}), "untrained control"
-    if mask_stage:
+    if trained and mask_stage:
         raise ValueError("a trained run keeps the mask it was trained with")
-    if snapshot is None:
-        return out | {"mask_stage": "agnostic"}, "no snapshot: plain mask"
-    return out | {k: snapshot[k] for k in TRAINED_KEYS if k in snapshot}, "snapshot of the run"
+    chosen = {"mask_stage": mask_stage} if mask_stage else {}
+    source, changes = {
+        (False, False): ("untrained control", chosen),
+        (False, True): ("untrained control", chosen),
+        (True, False): ("no snapshot: plain mask", {"mask_stage": "agnostic"}),
+        (True, True): ("snapshot of the run", {k: v for k, v in (snapshot or {}).items() if k in HANDED_ON}),
+    }[trained, snapshot is not None]
+    return {**current, **changes}, source
+
+
+def mask_for_training(config: Mapping, stored: Callable[[str], bool]) -> str:
+    """The configured mask stage, which must be one of the mask stages and must have been computed (``stored``): checked before anything is trained."""
+    stage = config.get("mask_stage", "agnostic")
+    if stage not in ("agnostic", "agnostic_refined"):
+        raise ValueError(f"unknown mask stage {stage!r}")
+    if not stored(stage):
+        raise FileNotFoundError(f"mask stage {stage!r} hasn't been computed: run it before training")
+    return stage

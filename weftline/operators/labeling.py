@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import html
 import json
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,38 +70,95 @@ def batch_id(ids: list[str]) -> str:
     return hashlib.blake2b("\n".join(sorted(ids)).encode(), digest_size=4).hexdigest()
 
 
+@dataclass(frozen=True)
+class Task:
+    """A labelling task: what is asked, the classes (code, caption), and whether the item's reference is shown beside the frame."""
+
+    title: str
+    hint: str
+    classes: tuple[tuple[str, str], ...]
+    paired: bool = True
+
+
+# The tasks and the codes of their classes, which label files carry.
+TASKS = {
+    "garment": Task("Product frame: laid flat or worn", "Infographics, close-ups of fabric and accessories are other.", (("flat", "laid flat"), ("on_model", "worn"), ("other", "other")), False),
+    "wild": Task("Review frame: fit for training", "The item's product frame is on the right: compare the colours.", (("good", "fit"), ("no_person", "nobody wears it"), ("crop", "torso cut or covered"), ("color_mismatch", "other colour"))),
+    "verify": Task("Pair for the test set", "Confirm only what is beyond doubt.", (("ok", "right"), ("wrong_colour", "other colour"), ("not_visible", "not seen or not worn"))),
+}
+
+_PAGE = """<!doctype html>
+<html lang="en"><head><meta charset="utf-8"><title>%(title)s</title>
+<style>
+body { font: 16px sans-serif; margin: 2em; }
+figure { display: inline-block; margin: 0 1em 1em 0; }
+img { max-height: 70vh; }
+.chosen { outline: 3px solid #06c; }
+progress { width: 100%%; }
+</style></head><body>
+<h1>%(title)s</h1>
+<p>%(hint)s</p>
+<main></main>
+<script type="application/json" id="task">%(task)s</script>
+<script>
+"use strict";
+class Labelling {
+  constructor(task, root) {
+    Object.assign(this, task, { root, place: 0 });
+    this.slot = `weftline/${this.batch}`;
+    this.given = new Map(JSON.parse(localStorage.getItem(this.slot) ?? "[]"));
+    this.place = Math.max(0, this.items.findIndex(x => !this.given.has(x.image_id)));
+    addEventListener("keyup", e => this.key(e.key));
+    this.draw();
+  }
+  key(name) {
+    const step = { ArrowRight: 1, ArrowLeft: -1 }[name];
+    if (step) this.move(step);
+    else if (/^[1-9]$/.test(name) && name <= this.classes.length) this.give(this.classes[name - 1][0]);
+  }
+  move(step) {
+    this.place = Math.min(this.items.length - 1, Math.max(0, this.place + step));
+    this.draw();
+  }
+  give(code) {
+    this.given.set(this.items[this.place].image_id, code);
+    localStorage.setItem(this.slot, JSON.stringify([...this.given]));
+    this.move(1);
+  }
+  csv() {
+    const cell = v => `"${String(v ?? "").split('"').join('""')}"`;
+    const rows = this.items.filter(x => this.given.has(x.image_id))
+      .map(x => [x.image_id, x.rel_path, x.category, this.given.get(x.image_id), this.batch].map(cell).join());
+    return ["image_id,rel_path,category_group,label,batch", ...rows].join("\\n") + "\\n";
+  }
+  save() {
+    const url = URL.createObjectURL(new Blob([this.csv()], { type: "text/csv" }));
+    Object.assign(document.createElement("a"), { href: url, download: `labels_${this.batch}.csv` }).click();
+    URL.revokeObjectURL(url);
+  }
+  draw() {
+    const el = (name, props, ...inside) => { const e = Object.assign(document.createElement(name), props); e.append(...inside); return e; };
+    const item = this.items[this.place];
+    const picture = (src, caption) => src ? [el("figure", {}, el("img", { src }), el("figcaption", { textContent: caption ?? "" }))] : [];
+    const buttons = this.classes.map(([code, caption], n) => el("button", {
+      textContent: `${n + 1} ${caption}`, onclick: () => this.give(code), className: item && this.given.get(item.image_id) === code ? "chosen" : "" }));
+    this.root.replaceChildren(
+      el("progress", { max: this.items.length, value: this.given.size }),
+      ...(item ? [...picture(item.thumb, item.rel_path), ...picture(item.ref_thumb, item.ref_path)] : []),
+      el("p", {}, ...buttons),
+      el("button", { textContent: "CSV", onclick: () => this.save() }));
+  }
+}
+new Labelling(JSON.parse(document.getElementById("task").textContent), document.querySelector("main"));
+</script></body></html>
+"""
+
+
 def label_page(title: str, hint: str, classes: list[tuple[str, str]], items: list[dict]) -> str:
     """A self-contained labelling page for a bounded sample.
 
-    Each item has ``image_id``, ``rel_path``, ``category`` and optional ``thumb`` / ``ref_thumb`` (base64 JPEG). Marks are kept
-    in the browser under the batch's id and exported as CSV with the batch in its name.
+    Each item has ``image_id``, ``rel_path``, ``category`` and optional ``thumb`` / ``ref_thumb`` (data URLs). Digits or buttons give a class, arrows move. Marks are kept
+    in the browser under the batch's id, so a reload goes on where it stopped, and are exported as CSV with the batch in its name.
     """
-    batch = batch_id([i["image_id"] for i in items])
-    data = json.dumps({"batch": batch, "classes": classes, "items": items}, ensure_ascii=False).replace("</", "<\\/")
-    keys = " ".join(f"<kbd>{n}</kbd> {html.escape(label)}" for n, (_, label) in enumerate(classes, 1))
-    return f"""<!doctype html><meta charset="utf-8"><title>{html.escape(title)} {batch}</title>
-<h1>{html.escape(title)}</h1><p>{html.escape(hint)}</p><p>{keys}</p><div id="view"></div><button id="save">CSV</button>
-<script>
-const task = {data};
-const store = "labels-" + task.batch, marks = JSON.parse(localStorage.getItem(store) || "{{}}");
-let at = 0;
-const quote = s => '"' + String(s ?? "").replaceAll('"', '""') + '"';
-function show() {{
-  const i = task.items[at], pic = t => t ? `<img src="data:image/jpeg;base64,${{t}}">` : "";
-  document.getElementById("view").innerHTML = i ? `<p>${{at + 1}} / ${{task.items.length}} ${{marks[i.image_id] || ""}}</p>${{pic(i.thumb)}}${{pic(i.ref_thumb)}}` : "";
-}}
-document.addEventListener("keydown", e => {{
-  const c = task.classes[Number(e.key) - 1], i = task.items[at];
-  if (c && i) {{ marks[i.image_id] = c[0]; localStorage.setItem(store, JSON.stringify(marks)); at = Math.min(at + 1, task.items.length - 1); }}
-  if (e.key === "ArrowLeft") at = Math.max(0, at - 1);
-  if (e.key === "ArrowRight") at = Math.min(task.items.length - 1, at + 1);
-  show();
-}});
-document.getElementById("save").onclick = () => {{
-  const rows = task.items.filter(i => marks[i.image_id]).map(i => [i.image_id, i.rel_path, i.category, marks[i.image_id], task.batch].map(quote).join(","));
-  const a = document.createElement("a");
-  a.href = URL.createObjectURL(new Blob([["image_id,rel_path,category_group,label,batch", ...rows].join("\\n")], {{type: "text/csv"}}));
-  a.download = "labels_" + task.batch + ".csv"; a.click();
-}};
-show();
-</script>"""
+    task = {"batch": batch_id([i["image_id"] for i in items]), "classes": [list(c) for c in classes], "items": items}
+    return _PAGE % {"title": html.escape(title), "hint": html.escape(hint), "task": json.dumps(task, ensure_ascii=False).replace("</", "<\\/")}

@@ -54,6 +54,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def has_files(spark: SparkSession, pattern: str) -> bool:
+    """Whether any path matches the pattern."""
+    fs, p = filesystem(spark, pattern)
+    found = fs.globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path in the application's own folder of the shared folder; the folder is deleted when the session's JVM ends."""
     root = shared_root(spark)

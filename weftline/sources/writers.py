@@ -66,7 +66,7 @@ def replace_stage_rows(df: DataFrame, keys: DataFrame, path: str, key: str = "im
 def read_stage(spark: SparkSession, path: str, key_type: str, payload: str, key: str = "image_id") -> DataFrame:
     """Rows of a stage; a stage that no run has written yet has none. A fault of the file system is an error, not an empty stage."""
     schema = f"{key} {key_type}, payload {payload}"
-    return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).select(key, "payload") if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def write_text(pieces: Iterable[str], path: str, spark: SparkSession | None = None) -> None:
@@ -74,6 +74,8 @@ def write_text(pieces: Iterable[str], path: str, spark: SparkSession | None = No
     spark = spark or SparkSession.active()
     staged = f"{path}.tmp-{uuid.uuid4().hex}"
     fs, new = filesystem(spark, staged)
+    if fs.getScheme() == "file":
+        fs = fs.getRawFileSystem()  # without checksum files, which other programs that write here wouldn't keep
     out = fs.create(new, True)
     held: list[str] = []
     size = 0
