@@ -101,7 +101,36 @@ def _arm(which: str) -> str:
     return f"{base} {studio}{more[which]}"
 
 
+_B = " \t\n\x0b\f\r\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u202f\u2060\u3000\ufeff"
+_FOLDED = f"replace(lower(trim({{}}, '{_B}')), 'ё', 'е')"
+_NONE = "'', '-', '–', '—', '−', 'n/a', 'na', 'неизвестно', 'не известно', 'не указано', 'не указан', 'не указана', 'нет данных', 'unknown', 'none', 'null'"
+_NUMERAL = rf"^([+-]?\d+(?:[{_B}]+\d+)*(?:[.,]\d+)?(?:[eE][+-]?\d+)?)[{_B}]*(?:[\p{{L}}°%$€₽][^\d,;]*)?$"
+# Cells of the attribute rows, read in SQL: JSON of all layouts, typed values, one per item and attribute.
+CELLS = rf"""raw as (select distinct sku_id, attrs_json::json j from manifest_sku where sku_id is not null and json_valid(attrs_json)),
+docs as (select sku_id, case when json_type(j) <> 'VARCHAR' then j when json_valid(j ->> '$') then (j ->> '$')::json end j from raw),
+elements as (select sku_id, e.value el from docs, json_each(docs.j) e where json_type(j) = 'ARRAY'),
+rows_ as (select sku_id, e.key k, e.value v from docs, json_each(docs.j) e where json_type(j) = 'OBJECT'
+ union all select sku_id, el ->> 0, el -> 1 from elements where json_type(el) = 'ARRAY' and json_array_length(el) = 2 and json_type(el -> 0) = 'VARCHAR'
+ union all select sku_id, el ->> 'key', el -> 'value' from elements where json_type(el) = 'OBJECT' and json_type(el -> 'key') = 'VARCHAR'),
+texts as (select sku_id, k, trim(v ->> '$', '{_B}') t from rows_ where v is not null and json_type(v) <> 'NULL'),
+known as (select sku_id, attr_name, value_type, t, {_FOLDED.format("t")} f from texts join (select distinct {_FOLDED.format("spelling")} s, attr_name, value_type from attr_dict) on s = {_FOLDED.format("k")}),
+read as (select sku_id, attr_name, value_type, t, f,
+ case when value_type in ('int', 'double') then try_cast(replace(regexp_replace(nullif(regexp_extract(t, '{_NUMERAL}', 1), ''), '[{_B}]', '', 'g'), ',', '.') as double) end n,
+ regexp_extract(t, '^(\d{{4}})[-./](\d{{1,2}})[-./](\d{{1,2}})$', ['a', 'b', 'c']) ymd, regexp_extract(t, '^(\d{{1,2}})[-./](\d{{1,2}})[-./](\d{{4}})$', ['c', 'b', 'a']) dmy from known where f not in ({_NONE})),
+typed as (select sku_id, attr_name, value_type, case when value_type = 'double' or n = floor(n) and abs(n) < 9e15 then n end n,
+ case when value_type = 'boolean' then case when f in ('true', '1', '1.0', 'да', 'yes', 'есть', 'имеется') then true when f in ('false', '0', '0.0', 'нет', 'no', 'нету', 'отсутствует') then false end end b,
+ case when value_type = 'date' then try_cast(case when ymd.a <> '' then ymd.a || '-' || lpad(ymd.b, 2, '0') || '-' || lpad(ymd.c, 2, '0') when dmy.a <> '' then dmy.a || '-' || lpad(dmy.b, 2, '0') || '-' || lpad(dmy.c, 2, '0') end as date) end d,
+ case when value_type = 'string' then t end s from read),
+cells as (select sku_id, attr_name, case when min(n) = max(n) then min(n) end n, case when min(b::int) = max(b::int) then min(b::int) = 1 end b, case when min(d) = max(d) then min(d) end d, min(s) s from typed group by 1, 2)"""
+# Attributes of the dictionary that become columns, by the slot their type is read into.
+_WIDE = {
+    "n::bigint": "density_gsm pieces wash_temp_c weight_g", "n": "elastane_pct length_cm sleeve_cm", "b": "lined pockets sheer", "d": "restocked_on shot_on", "s": "closure fabric_mix pattern_name sewn_in",
+}
+_COLUMNS = ", ".join(f"(max(case when attr_name = '{name}' then {slot.replace('::bigint', '')} end)){slot[len(slot.split(':')[0]):]} as {name}" for slot, names in _WIDE.items() for name in names.split())
+
 SQL = {
+    "p5_found": f"with {CELLS} select sku_id, attr_name from cells where coalesce(n::varchar, b::varchar, d::varchar, s) is not null",
+    "p5_wide": f"with {CELLS} select i.sku_id, {_COLUMNS} from (select distinct sku_id from manifest_sku where sku_id is not null) i left join cells on cells.sku_id = i.sku_id group by 1",
     "content_hash": "select doc_id, md5(text) as hash from documents",
     "hash_rank": f"with {ITEMS} select sku_id, round({_N.format("'7:' || sku_id")} / 4503599627370496.0, 9) place from items",
     "shard_of": f"with {FRAMES} select ({_N.format('image_id')} % 8)::int shard, count(*) frames from frames group by 1",

@@ -225,21 +225,59 @@ def _parsed(s, d):
 
 
 def _masks(s, d):
-    m = pixel_frames.agnostic_masks(_parsed(s, d)).select("image_id", "mask", F.lit(48).alias("height"), F.lit(48).alias("width"))
-    return pixel_frames.mask_measures(m).select("image_id", _r("share").alias("share"))
+    m = pixel_frames.agnostic_masks(_parsed(s, d), png=True).select("image_id", "mask", F.lit(48).alias("height"), F.lit(48).alias("width"))
+    return pixel_frames.mask_measures(m).select("image_id", _r("share").alias("share"), F.array_join(F.col("box").cast("array<string>"), ",").alias("box"))
 
 
-def _colour(s, d):
+def _posed(s, d):
+    """Label maps with joints out of the vector: wrists, elbows, nose and shoulders somewhere in the picture, each with a score."""
+    joints = ["left_elbow", "left_wrist", "right_elbow", "right_wrist", "nose", "left_shoulder", "right_shoulder"]
+    at = lambda i: F.abs(_e(i)) * 160 % 48
+    points = F.map_from_arrays(F.array(*[F.lit(j) for j in joints]), F.array(*[F.array(at(2 * i), at(2 * i + 1)) for i in range(len(joints))]))
+    scores = F.map_from_arrays(F.array(*[F.lit(j) for j in joints]), F.array(*[F.abs(_e(20 + i)) * 4 for i in range(len(joints))]))
+    v = _vectors(s, d).select(F.col("vec_id").alias("__v"), points.alias("keypoints"), scores.alias("scores"))
+    return _parsed(s, d).join(v, F.col("image_id") == F.col("__v")).drop("__v")
+
+
+def _e(i: int) -> Column:
+    return F.col("embedding")[i].cast("double")
+
+
+def _refined(s, d):
+    m = pixel_frames.agnostic_masks(_posed(s, d)).select("image_id", "mask", F.lit(48).alias("height"), F.lit(48).alias("width"))
+    return pixel_frames.mask_measures(m, to_height=48, to_width=48).select("image_id", _r("share").alias("share"))
+
+
+def _masked_l1(s, d):
+    """Difference of each picture from the one turned upside down, inside its mask."""
     p = _parsed(s, d)
-    v = p.select("image_id", "content", "parse", "height", "width", "category_group")
-    return pixel_frames.garment_vectors(v).select("image_id", F.size("vector").alias("dimensions"))
+    pictures = p.select("image_id", F.substring("content", 14, 48 * 48).alias("grey"))
+    m = pixel_frames.agnostic_masks(p).withColumnRenamed("image_id", "__m")
+    both = pictures.join(m, F.col("image_id") == F.col("__m")).select("image_id", _three("grey").alias("a"), _three(_reversed("grey")).alias("b"), "mask", F.lit(48).alias("height"), F.lit(48).alias("width"))
+    return pixel_frames.masked_differences(both, "image_id").select("image_id", _r("l1_mask").alias("l1_mask"))
+
+
+@F.pandas_udf(T.BinaryType())
+def _three(v: pd.Series) -> pd.Series:
+    """Grey bytes as three equal samples each."""
+    return v.map(lambda x: np.repeat(np.frombuffer(x, np.uint8), 3).tobytes())
+
+
+@F.pandas_udf(T.BinaryType())
+def _reversed(v: pd.Series) -> pd.Series:
+    return v.map(lambda x: bytes(x)[::-1])
+
+
+def _colour(s, d):
+    v = pixel_frames.garment_vectors(_parsed(s, d)).select("image_id", "vector")
+    return v.select("image_id", F.size("vector").alias("dimensions"), *[_r(F.get("vector", F.lit(i)).cast("double"), 3).alias(n) for i, n in enumerate(("l", "a", "b"))], F.round(F.array_max(F.slice("vector", 4, 512)).cast("double"), 4).alias("fullest"))
 
 
 def _staged(s, d):
-    """The parse and colour stages through the stage runner, with a deterministic stand-in for the model."""
-    rows = _pictures(s, d)
-    parse = stages.run_stage(rows, "parse", {}, lambda batch: [r["content"][-64:] for r in batch])
-    return stages.run_stage(rows.select("image_id"), "embed", {"parse": parse}, lambda batch: [[b / 255 for b in r["parse"][:4]] for r in batch]).select("image_id", F.size("payload").alias("dimensions"))
+    """The parse and embed stages through the stage runner, with a deterministic stand-in for the model: mean and greatest value of a picture's bytes."""
+    parse = stages.run_stage(_pictures(s, d), "parse", {}, lambda batch: [r["content"][13:] for r in batch])
+    embed = stages.run_stage(_pictures(s, d).select("image_id"), "embed", {"parse": parse}, lambda batch: [[sum(r["parse"]) / len(r["parse"]), float(max(r["parse"]))] for r in batch])
+    return embed.select("image_id", _r(F.col("payload")[0].cast("double"), 3).alias("mean"), F.col("payload")[1].cast("double").alias("greatest"))
 
 
 def _entry(s, d):
@@ -271,6 +309,8 @@ def queries():
         "probe_headers": _headers,
         "frame_features": lambda s, d: pixel_frames.frame_features(_pictures(s, d)).select("image_id", "read_ok", "content_md5", _r("sharpness").alias("sharpness"), "phash"),
         "mask_load": _masks,
+        "agnostic_refined": _refined,
+        "masked_l1": _masked_l1,
         "garment_vectors": _colour,
         "run_stage": _staged,
         # metadata
