@@ -101,8 +101,8 @@ def _quotas(classes: DataFrame, turns: int) -> DataFrame:
     return rows.withColumn("q", F.when(F.col("__whole"), F.col("n")).otherwise(even)).drop("__smaller", "__at", "__m", "__budget", "__whole", "__rest", "__open", "__fit")
 
 
-def _last_turn(classes: DataFrame, turns: int, k: int, items: int) -> DataFrame:
-    """``class`` of ``k`` of the items that have more than ``turns`` records, one each, chosen by tournaments in deflated rounds.
+def _last_turn(classes: DataFrame, turns: int, k: int, items: int) -> list[DataFrame]:
+    """Written tables with the ``class`` of ``k`` of the items that have more than ``turns`` records, one each, chosen by tournaments in deflated rounds.
 
     Items are dealt to shards, whose tournaments run side by side, so the number of rounds doesn't follow ``k``. After a round
     what was chosen is projected out: an item's row is gone, and of a room from which m rows
@@ -141,7 +141,7 @@ def _last_turn(classes: DataFrame, turns: int, k: int, items: int) -> DataFrame:
         chosen.append(won)
         count += n
     release(able)
-    return _union(chosen).select("class") if chosen else classes.select("class").limit(0)
+    return chosen
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -190,10 +190,11 @@ def varied_subset(df: DataFrame, k: int | None = None, key: str = "pair_id", ite
         quota = materialize(_quotas(classes, turns), "quotas")
     rest = k - sum(min(n, turns) * items for n, items in counts.items())
     taken = quota.filter("q > 0").select("class", "q")
-    if rest:
-        last = _last_turn(quota, turns, rest, sum(items for n, items in counts.items() if n > turns))
-        taken = taken.unionByName(last.withColumn("q", F.lit(1).cast("long"))).groupBy("class").agg(F.sum("q").alias("q"))
+    last = _last_turn(quota, turns, rest, sum(items for n, items in counts.items() if n > turns)) if rest else []
+    if last:
+        taken = taken.unionByName(_union(last).select("class", F.lit(1).cast("long").alias("q"))).groupBy("class").agg(F.sum("q").alias("q"))
     taken = materialize(taken, "taken")
+    release(classes, quota, *last)
     most = taken.agg(F.max("q")).first()[0] or 0
     side = small_side(taken.select(F.col("class").alias("c"), "q"))
     mine = records.join(side, F.col("class") == F.col("c")).drop("c").withColumn("piece", F.pmod("h", F.lit(_PIECES)).cast("int"))
