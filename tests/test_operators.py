@@ -143,6 +143,39 @@ def test_similarity_is_the_maximum_and_null_without_a_side(spark):
     assert got[3] == pytest.approx(0.8) and got[4] is got[5] is got[6] is None
 
 
+@pytest.mark.parametrize("block", [1, 3, 512])
+def test_similarity_in_blocks_of_a_hot_item(spark, block):
+    import numpy as np
+
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(60, 6))
+    rows = [(i, "hot" if i < 50 else f"s{i % 3}", v.tolist(), i % 4 == 0) for i, v in enumerate(x)] + [(99, "hot", [1.0, 2.0], False), (100, None, [1.0] * 6, False), (101, None, [1.0] * 6, True)]
+    df = spark.createDataFrame(rows, "id long, item string, v array<double>, ref boolean")
+    bank = matching.reference_bank(df, "item", "v", "ref")
+    got = {r["id"]: r for r in matching.max_similarity(df.filter("not ref"), bank, "id", "item", "v", block=block).collect()}
+    colour = {r["id"]: r for r in matching.colour_likeness(df.filter("not ref"), bank, "id", "item", "v", block=block).collect()}
+    assert len(got) == len(colour) == sum(not r[3] for r in rows)
+    for i, item, v, ref in rows[:60]:
+        if not ref:
+            mates = np.array([w for _, other, w, r in rows[:60] if r and other == item]).reshape(-1, 6)
+            want = [(mates @ v).max(), -np.linalg.norm(mates[:, :3] - v[:3], axis=1).min(), np.minimum(mates[:, 3:], v[3:]).sum(1).max()] if len(mates) else [None] * 3
+            assert [got[i]["garment_sim"], colour[i]["colour_med"], colour[i]["colour_hist"]] == [x if x is None else pytest.approx(x) for x in want]
+    assert got[99]["garment_sim"] is got[100]["garment_sim"] is None
+
+
+def test_quantiles_of_a_value_that_most_rows_share(spark):
+    rows = [(0.5, "a")] * 700 + [(float(i), "b" if i % 2 else "a") for i in range(300)]
+    df = spark.createDataFrame(rows, "v double, g string")
+    from weftline.operators.ranking import counted_values
+
+    assert counted_values(df, "v").count() == 301
+    import numpy as np
+
+    for group, values in (([], [v for v, _ in rows]), (["g"], [v for v, g in rows if g == "a"])):
+        got = {r["q"]: r["value"] for r in exact_quantiles(df, "v", [0.0, 0.3, 0.71, 0.999, 1.0], group).filter("g = 'a'" if group else "true").collect()}
+        assert got == {q: pytest.approx(np.quantile(values, q)) for q in got} and len(got) == 5
+
+
 def test_auc_and_sweep(spark):
     df = lambda rows: spark.createDataFrame(rows, "p boolean, s double")
     sep = df([(True, 0.9), (True, 0.8), (False, 0.2), (False, 0.1), (None, 0.5), (True, NAN)])

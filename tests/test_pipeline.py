@@ -155,6 +155,8 @@ def test_stages(spark, tmp_path):
     pipeline.collect_signals(spark, roots)
     sim = pipeline.colour_similarity(spark, roots)
     assert sim.count() == 24 and sim.filter("colour_hist > 1.001 or colour_med > 0").count() == 0
+    n, sheet = pipeline.inspect_stages(spark, roots, 3, 60)
+    assert n == 3 and png_array(Path(sheet).read_bytes()).shape == (180, 135, 3)
     (stage / ".git").mkdir()
     with pytest.raises(ValueError):
         pipeline.preprocess(spark, roots, "detect", people)
@@ -193,6 +195,12 @@ def test_runs(spark, tmp_path):
             pipeline.compare_runs(spark, bad, "nobody")
     trend, rolling = pipeline.report_run(spark, runs["a"])
     assert trend.first()["significant"] and rolling.count() == 100
+    picture = png_array(Path(pipeline.plot_run(spark, runs["a"])).read_bytes())
+    assert picture.shape == (400, 900, 3) and len(np.unique(picture.reshape(-1, 3), axis=0)) >= 3
+    from weftline.cli import main
+
+    assert main(["report-run", runs["a"], "--plot"]) == 0
+    assert main(["compare-runs", *runs.values(), "--out", str(tmp_path / "c.json")]) == 0 and json.loads((tmp_path / "c.json").read_text())["pairs"] == 40
 
 
 def test_command_line_knows_its_commands():

@@ -40,6 +40,12 @@ def test_lake(spark, tmp_path):
     assert kv == {("Состав", "хлопок, лён"), ("Цвет", "синий"), ("Цвет", "белый")}
 
 
+def test_info_files():
+    text = '\ufeffkey,value\r\n"Состав, %","хлопок\nлён",5\r\nЦвет,"тёмно-""синий"""\r\n  ,x\nпусто,\nодин\n'
+    assert directory.info_pairs(text) == [(1, "Состав, %", "хлопок\nлён,5"), (2, "Цвет", 'тёмно-"синий"')]
+    assert directory.info_pairs(None) == directory.info_pairs("") == []
+
+
 def test_json_layouts(spark):
     plain = [("a", "1"), ("a", "true"), ("b", None)]
     assert json_pairs('{"a": 1, "a": true, "b": null}') == plain == json_pairs('[["a", 1], ["a", true], ["b", null]]') == json_pairs('[{"key": "a", "value": 1}, {"key": "a", "value": true}, {"key": "b"}]')

@@ -36,7 +36,8 @@ def _parser() -> argparse.ArgumentParser:
     command("build-test-set")
     command("select-pairs", ("--arm", {"choices": ARMS, "required": True}), ("--out", {"required": True}))
     command("compare-runs", ("runs", {"nargs": "+"}), ("--reference", {}), ("--by-category", {"action": "store_true"}), ("--out", {"default": "comparison.json"}))
-    command("report-run", ("runs", {"nargs": "+"}), ("--window", {"type": int, "default": 40}))
+    command("report-run", ("runs", {"nargs": "+"}), ("--window", {"type": int, "default": 40}), ("--plot", {"action": "store_true"}))
+    command("inspect-preproc", ("--n", {"type": int, "default": 8}), ("--cell", {"type": int, "default": 260}), ("--out", {}))
     command("check-env")
     return p
 
@@ -121,7 +122,16 @@ def main(argv: Sequence[str] | None = None) -> int:
         print(*[f"WARNING {w}" for w in warnings], *report_lines(document), sep="\n")
     elif a.command == "report-run":
         for r in a.runs:
-            pipeline.report_run(spark, r, window=a.window)[0].show(truncate=False)
+            for value in ("loss", "loss_masked"):
+                t = pipeline.report_run(spark, r, value, a.window)[0].first()
+                if t["rows"]:
+                    print(f"{r} {value}: {t['head']:.4f} -> {t['tail']:.4f} ({t['change']:+.4f} +- {t['error']:.4f}, {'significant' if t['significant'] else 'within noise'}), {t['slope_10k']:+.4f} in 10k steps")
+            if a.plot:
+                print(pipeline.plot_run(spark, r, window=a.window))
+    elif a.command == "inspect-preproc":
+        n, path = pipeline.inspect_stages(spark, roots, a.n, a.cell, a.out)
+        print(f"{n} frames: {path}" if n else "no results of stage parse yet")
+        bad = not n
     else:
         print(sys.version, spark.version, spark.sparkContext.defaultParallelism, sep="\n")
     return int(bool(bad))

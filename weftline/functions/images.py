@@ -170,3 +170,25 @@ def thumbnail(content: bytes | None, side: int = 420, quality: int = 78) -> tupl
     out = io.BytesIO()
     Image.fromarray(small).save(out, "JPEG", quality=quality)
     return "image/jpeg", out.getvalue()
+
+
+def line_chart(lines: list[tuple[np.ndarray, np.ndarray, tuple[int, int, int]]], width: int = 900, height: int = 400, margin: int = 20) -> np.ndarray:
+    """Lines (x, y, colour) in one frame over common axes; unknown values break a line."""
+    out = np.full((height, width, 3), 255, np.uint8)
+    out[[margin, height - margin - 1], margin : width - margin] = 200
+    out[margin : height - margin, [margin, width - margin - 1]] = 200
+    x, y = (np.concatenate([np.asarray(line[i], float) for line in lines]) if lines else np.zeros(0) for i in (0, 1))
+    known = np.isfinite(x) & np.isfinite(y)
+    if not known.any():
+        return out
+    low, span = np.array([x[known].min(), y[known].min()]), np.array([np.ptp(x[known]), np.ptp(y[known])])
+    span[span == 0] = 1
+    for xs, ys, colour in lines:
+        px = margin + (np.asarray(xs, float) - low[0]) / span[0] * (width - 2 * margin - 1)
+        py = height - 1 - margin - (np.asarray(ys, float) - low[1]) / span[1] * (height - 2 * margin - 1)
+        for a, b in zip(np.stack([px, py], 1)[:-1], np.stack([px, py], 1)[1:]):
+            if np.isfinite(a).all() and np.isfinite(b).all():
+                steps = np.linspace(0, 1, int(np.abs(b - a).max()) + 2)[:, None]
+                at = np.rint(a + (b - a) * steps).astype(int)
+                out[at[:, 1], at[:, 0]] = colour
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +35,28 @@ def _blocks(rows: DataFrame, item: str, vector: str, key: str | None, block: int
     return dealt.groupBy("__item", "__dim", "__b").agg(*lists).drop("__b")
 
 
-def _products(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in it:
-        for r in range(b.num_rows):
-            keys = b["keys"].slice(r, 1).flatten()
-            q, ref = (np.array(b[c][r].as_py(), np.float64) for c in ("vectors", "refs"))
-            best = np.where(np.isnan(x := q @ ref.T), -np.inf, x).max(1)
-            yield pa.RecordBatch.from_arrays([keys, pa.array(best, mask=np.isneginf(best))], ["k", "best"])
+def _compared(measure: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: list[str]):
+    """Per pair of blocks: the greatest of each ``measure`` of every query over the references; NULL where there is none."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            for r in range(b.num_rows):
+                keys = b["keys"].slice(r, 1).flatten()
+                q, refs = (np.array(b[c][r].as_py(), np.float64) for c in ("vectors", "refs"))
+                best = [np.where(np.isnan(x), -np.inf, x) for x in measure(q, refs)]
+                yield pa.RecordBatch.from_arrays([keys, *[pa.array(x, mask=np.isneginf(x)) for x in best]], ["k", *names])
+
+    return run
+
+
+def _best_of_item(queries: DataFrame, bank: DataFrame, key: str, item: str, vector: str, measure, names: list[str], block: int) -> DataFrame:
+    """``queries`` with the greatest of each measure over the references of their item, found block by block."""
+    q = _blocks(queries.filter(F.size(vector) > 0).filter(F.col(item).isNotNull()), item, vector, key, block)
+    refs = _blocks(bank, "bank_item", "bank_vector", None, block).select(F.col("__item").alias("__ri"), F.col("__dim").alias("__rd"), F.col("vectors").alias("refs"))
+    met = q.join(refs, (F.col("__item") == F.col("__ri")) & (F.col("__dim") == F.col("__rd"))).select("keys", "vectors", "refs")
+    schema = f"k {queries.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names)
+    best = met.mapInArrow(_compared(measure, names), schema).groupBy(F.col("k").alias("__k")).agg(*[F.max(n).alias(n) for n in names])
+    return queries.drop(*names).join(best, F.col(key) == F.col("__k"), "left").drop("__k")
 
 
 def max_similarity(queries: DataFrame, bank: DataFrame, key: str, item: str, vector: str, out: str = "garment_sim", block: int = BLOCK) -> DataFrame:
@@ -51,11 +66,20 @@ def max_similarity(queries: DataFrame, bank: DataFrame, key: str, item: str, vec
     and are multiplied as matrices, so a hot item is many pairs of blocks over many tasks, and the maximum per query
     is taken over its blocks. Equal references count once.
     """
-    q = _blocks(queries.filter(F.size(vector) > 0).filter(F.col(item).isNotNull()), item, vector, key, block)
-    refs = _blocks(bank, "bank_item", "bank_vector", None, block).select(F.col("__item").alias("__ri"), F.col("__dim").alias("__rd"), F.col("vectors").alias("refs"))
-    met = q.join(refs, (F.col("__item") == F.col("__ri")) & (F.col("__dim") == F.col("__rd"))).select("keys", "vectors", "refs")
-    best = met.mapInArrow(_products, f"k {queries.schema[key].dataType.simpleString()}, best double").groupBy(F.col("k").alias("__k")).agg(F.max("best").alias(out))
-    return queries.join(best, F.col(key) == F.col("__k"), "left").drop("__k")
+    return _best_of_item(queries, bank, key, item, vector, lambda q, refs: [np.where(np.isnan(x := q @ refs.T), -np.inf, x).max(1)], [out], block)
+
+
+def _colours(q: np.ndarray, refs: np.ndarray) -> list[np.ndarray]:
+    away = np.sqrt(((q[:, None, :3] - refs[None, :, :3]) ** 2).sum(2)).min(1)
+    common = np.array([np.minimum(x[3:], refs[:, 3:]).sum(1).max() for x in q])
+    return [-away, common]
+
+
+def colour_likeness(queries: DataFrame, bank: DataFrame, key: str, item: str, vector: str, block: int = 128) -> DataFrame:
+    """How like in colour each query is to the references of its item: ``colour_med`` (minus the least distance of median colours) and ``colour_hist`` (the greatest
+    overlap of histograms); vectors are three median components and a histogram. Blocks and NULLs as in ``max_similarity``.
+    """
+    return _best_of_item(queries, bank, key, item, vector, _colours, ["colour_med", "colour_hist"], block)
 
 
 def colour_rank(df: DataFrame, first: str, second: str, out: str = "colour_rank", nulls: str = "lowest") -> DataFrame:

@@ -189,7 +189,8 @@ SQL = {
     "threshold_sweep": f"""{_marked()}, q as (select unnest(range(40))::int step, unnest(quantile_cont(s::double, [{', '.join(f'{0.9 * i / 39!r}::double' for i in range(40))}])) t from x)
  select step, round(t, 6) threshold, count(*) filter (where s >= t) kept, round(count(*) filter (where s >= t and p) / count(*) filter (where s >= t), 6) as precision,
  round(count(*) filter (where s >= t and p) / count(*) filter (where p), 6) recall from q, x group by step, t having count(*) filter (where s >= t and p) > 0""",
-    "filter_quality": f"{_marked()}, t as (select quantile_cont(s::double, 0.45::double) t from x), c as (select count(*) filter (where s >= t and p) tp, count(*) filter (where s >= t and not p) fp, count(*) filter (where s < t and p) fn from x, t) select tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) recall from c",
+    "filter_quality": f"""with {PAIRS}, {LABELS}, t as (select quantile_cont(colour_rank::double, 0.45::double) t from pairs where colour_rank is not null), x as (select l.label = 'ok' p, colour_rank s from pairs join labels l on l.image_id = person_image_id and l.label in ('ok', 'wrong_colour') where colour_rank is not null),
+ c as (select count(*) filter (where s >= t and p) tp, count(*) filter (where s >= t and not p) fp, count(*) filter (where s < t and p) fn from x, t) select tp, fp, fn, round(tp / (tp + fp), 6) as precision, round(tp / (tp + fn), 6) recall from c""",
     "flat_candidates": f"with {FLAT} select image_id, sku_id from flat",
     "best_garment": f"with {FLAT} select sku_id, garment_image_id, garment_rel_path from garments",
     "cascade_funnel": f"""with {WILD}, n as (select count(*) s0, count(*) filter (where c1) s1, count(*) filter (where c1 and c2) s2, count(*) filter (where c1 and c2 and c3) s3,

@@ -3,23 +3,24 @@
 from __future__ import annotations
 
 import base64
+import json
 from collections.abc import Mapping
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.config import Roots
-from weftline.functions import images
+from weftline.functions import images, pixels
 from weftline.functions.ids import base_title, blake_shard, design_key, variant_number
-from weftline.operators import catalog, copies, frames, labeling, matching, pairs, splits, stages, stats
+from weftline.operators import catalog, copies, frames, labeling, matching, pairs, runners, splits, stages, stats
 from weftline.operators.assets import count_variants, health, inventory
-from weftline.operators.runners import RUNNERS
 from weftline.plans.bounded import small_side
 from weftline.plans.durable import exists, has_files, materialize, release
 from weftline.sources import directory
 from weftline.sources.readers import LABELS, read_labels, read_log, read_metrics, read_table
-from weftline.sources.writers import read_stage, replace_stage_rows, replace_table, write_json, write_metrics, write_stage, write_text
+from weftline.sources.writers import read_stage, replace_stage_rows, replace_table, write_bytes, write_json, write_metrics, write_stage, write_text
 
 
 def build_manifest(spark: SparkSession, roots: Roots, config: Mapping) -> dict[str, DataFrame]:
@@ -151,7 +152,7 @@ def preprocess(spark: SparkSession, roots: Roots, stage: str, model=None, dry_ru
     ``model`` is what the stage's runner calls (see ``operators.runners``); stages that need none are agnostic, agnostic_refined and colour.
     Keywords are those of ``run_one_stage``, and ``grow_px`` for the agnostic stage. A dry run only counts.
     """
-    make, content, wants_model = RUNNERS[stage]
+    make, content, wants_model = runners.RUNNERS[stage]
     grow_px = kw.pop("grow_px", None)
     rows, todo = stage_work(spark, roots, stage, *[kw.get(k, v) for k, v in (("shard", 0), ("shards", 1), ("overwrite", False), ("limit", None))])
     out = {"rows": rows.count(), "todo": todo.count(), "missing": {}}
@@ -187,21 +188,15 @@ def _marked(rows: DataFrame, labels: DataFrame, good: str, *bad: str) -> DataFra
 
 
 def colour_similarity(spark: SparkSession, roots: Roots) -> DataFrame:
-    """How like in colour each review frame is to its item's worn product frames: ``colour_med`` (minus the least distance of median colours) and ``colour_hist`` (the greatest overlap of histograms), higher meaning more alike.
+    """``image_id``, ``colour_med``, ``colour_hist`` of each review frame against its item's worn product frames, as a table; higher means more alike.
 
-    The pairs read this table; no other stage of the pipeline writes it. Frames without colour features have NULLs. Product frames of an item are at most
-    a few dozen, so frames meet them one by one.
+    The pairs read this table; no other stage of the pipeline writes it. Frames without colour features have NULLs.
     """
     signals = read_table(spark, roots.table("signals.parquet"))
-    vectors = _stage(spark, roots, "colour").filter(F.size("payload") > 3).select(F.col("image_id").alias("__v"), "payload")
-    f = signals.join(vectors, F.col("image_id") == F.col("__v"), "left").drop("__v")
-    ref = f.filter("branch = 'product' and n_persons > 0 and payload is not null").select(F.col("sku_id").alias("__s"), F.col("payload").alias("ref"))
-    both = f.filter("branch = 'review' and payload is not null").select("image_id", "sku_id", "payload").join(ref, F.col("sku_id") == F.col("__s"))
-    away = F.sqrt(sum(((F.col("payload")[i] - F.col("ref")[i]).cast("double") ** 2 for i in range(3)), F.lit(0.0)))
-    tail = lambda c: F.slice(c, F.lit(4), F.greatest(F.size(c) - 3, F.lit(0)))
-    common = F.aggregate(F.zip_with(tail("payload"), tail("ref"), lambda x, y: F.least(x, y).cast("double")), F.lit(0.0), lambda a, x: a + x)
-    best = both.groupBy(F.col("image_id").alias("__i")).agg((-F.min(away)).alias("colour_med"), F.max(common).alias("colour_hist"))
-    out = f.filter("branch = 'review'").select("image_id").join(best, F.col("image_id") == F.col("__i"), "left").drop("__i")
+    vectors = _stage(spark, roots, "colour").select(F.col("image_id").alias("__v"), "payload")
+    with_v = signals.join(vectors, F.col("image_id") == F.col("__v"), "left").drop("__v")
+    bank = matching.reference_bank(with_v, "sku_id", "payload", "branch = 'product' and n_persons > 0")
+    out = matching.colour_likeness(with_v.filter("branch = 'review'"), bank, "image_id", "sku_id", "payload").select("image_id", "colour_med", "colour_hist")
     replace_table(out, roots.table("colour_sim.parquet"))
     return read_table(spark, roots.table("colour_sim.parquet"))
 
@@ -339,6 +334,52 @@ def report_run(spark: SparkSession, run: str, value: str = "loss", window: int =
     return stats.run_trend(log, ["step"], "step", value), stats.rolling_mean(log, ["step"], value, window)
 
 
+def plot_run(spark: SparkSession, run: str, values: tuple[str, ...] = ("loss", "loss_masked"), window: int = 40, points: int = 2000) -> str:
+    """``loss.png`` of a run: each logged value, and darker its rolling mean, as means over at most ``points`` stretches of the log (a picture shows no more)."""
+    lines = []
+    for value, (pale, dark) in zip(values, (((214, 205, 190), (140, 110, 40)), ((190, 220, 205), (20, 110, 80)))):
+        _, rolling = report_run(spark, run, value, window)
+        span = rolling.agg(F.min("step"), F.max("step")).first()
+        if span[0] is None:
+            continue
+        stretch = F.floor((F.col("step") - F.lit(span[0])) * F.lit(points) / F.lit(span[1] - span[0] + 1))
+        rows = rolling.groupBy(stretch.alias("at")).agg(F.avg("step").alias("x"), F.avg(value).alias("y"), F.avg("rolling").alias("r")).orderBy("at").collect()
+        x, y, r = (np.array([row[c] if row[c] is not None else np.nan for row in rows], float) for c in "xyr")
+        lines += [(x, y, pale), (x, r, dark)]
+    out = f"{run}/loss.png"
+    write_bytes(images.png_bytes(images.line_chart(lines)), out, spark)
+    return out
+
+
+def inspect_stages(spark: SparkSession, roots: Roots, n: int = 8, cell: int = 260, out: str | None = None) -> tuple[int, str]:
+    """A sheet of the first ``n`` frames (by id) that the parse stage has: frame, label map, and frame with mask and pose where those stages have them; (frames, path).
+
+    Only the chosen frames' files are read on, and each picture is drawn and shrunk on the executors.
+    """
+    have = {s: _stage(spark, roots, s).select(F.col("image_id").alias(f"__{s}"), F.col("payload").alias(s)) for s in ("parse", "agnostic", "pose")}
+    rows = _working_set(spark, roots).select("image_id", "rel_path").join(have["parse"], F.col("image_id") == F.col("__parse"))
+    chosen = materialize(rows.orderBy("image_id").limit(n), "chosen")
+    for s in ("agnostic", "pose"):
+        chosen = chosen.join(have[s], F.col("image_id") == F.col(f"__{s}"), "left")
+    chosen = _files(spark, roots).join(F.broadcast(chosen), F.col("__r") == F.col("rel_path"))  # n rows
+
+    @F.pandas_udf("binary")
+    def sheet(content: pd.Series, parse: pd.Series, mask: pd.Series, pose: pd.Series) -> pd.Series:
+        def one(c, p, m, k):
+            img, labels = runners.frame({"content": bytes(c)}), images.png_array(bytes(p))
+            joints = json.loads(k) if k else {}
+            drawn = pixels.inspection(img, labels, images.png_array(bytes(m)) if m is not None else np.zeros_like(labels), joints.get("keypoints") or {}, joints.get("scores") or {})
+            return images.png_bytes(images.resample(drawn, cell, round(cell * drawn.shape[1] / drawn.shape[0]), "bicubic"))
+
+        return pd.Series([one(*r) for r in zip(content, parse, mask, pose)])
+
+    done = chosen.select("image_id", sheet("content", "parse", "agnostic", "pose").alias("png")).orderBy("image_id").collect()
+    out = out or f"{roots.need('cache')}/inspect_preproc.png"
+    if done:
+        write_bytes(images.png_bytes(np.concatenate([images.png_array(bytes(r["png"])) for r in done])), out, spark)
+    return len(done), out
+
+
 def label_batch(spark: SparkSession, pool: DataFrame, n: int, seed: int, title: str, hint: str, classes: list[tuple[str, str]], thumbs: DataFrame | None = None) -> tuple[str, str]:
     """(batch id, page) of a stratified sample; ``thumbs`` (``rel_path``, ``thumb`` as a data URL) is joined for the sampled rows and their references only."""
     rows = materialize(labeling.stratified_sample(pool, n, seed), "sample")

@@ -156,6 +156,14 @@ def _test_set(s, d):
     return pairs.test_set(_signals(s, d), _labels(s, d), _pairs(s, d))
 
 
+def _filter_quality(s, d):
+    """How well the colour filter tells person frames labelled ok from those labelled wrong_colour; its threshold is the .45 quantile of all pairs."""
+    p = materialize(_pairs(s, d), "pairs")
+    labels = _labels(s, d).filter("label in ('ok', 'wrong_colour')").select(F.col("image_id").alias("__l"), (F.col("label") == "ok").alias("positive"))
+    marked = p.join(labels, F.col("person_image_id") == F.col("__l"))
+    return matching.filter_quality(marked, "positive", "colour_rank", quantile_of=p).select("tp", "fp", "fn", _r("precision").alias("precision"), _r("recall").alias("recall"))
+
+
 def _verify(s, d):
     p = _pairs(s, d)
     garments = p.groupBy("sku_id").agg(F.min("garment_rel_path").alias("ref_path"))
@@ -357,7 +365,7 @@ def queries():
         "auc": lambda s, d: matching.auc(_pairs(s, d).withColumn("p", F.col("branch") == "wild"), "p", "garment_sim").select(_r("auc").alias("auc"), "n_pos", "n_neg"),
         "similarity_auc": lambda s, d: matching.auc(_similarity(s, d).withColumn("p", F.col("label") < 5), "p", "garment_sim").select(_r("auc").alias("auc"), "n_pos", "n_neg"),
         "threshold_sweep": lambda s, d: matching.threshold_sweep(_pairs(s, d).withColumn("p", F.col("branch") == "wild"), "p", "garment_sim").select("step", _r("threshold").alias("threshold"), "kept", _r("precision").alias("precision"), _r("recall").alias("recall")),
-        "filter_quality": lambda s, d: matching.filter_quality(_pairs(s, d).withColumn("p", F.col("branch") == "wild"), "p", "garment_sim").select("tp", "fp", "fn", _r("precision").alias("precision"), _r("recall").alias("recall")),
+        "filter_quality": _filter_quality,
         # pairs
         "flat_candidates": lambda s, d: pairs.flat_candidates(_signals(s, d)).select("image_id", "sku_id"),
         "best_garment": lambda s, d: pairs.best_garment(pairs.flat_candidates(_signals(s, d))),

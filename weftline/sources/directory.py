@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import struct
 
 import pandas as pd
@@ -90,14 +92,22 @@ def scan_items(spark: SparkSession, root: str, info: str = "info.csv") -> DataFr
     return rows.withColumn("sku_id", short_id("rel_dir"))
 
 
+def info_pairs(text: str | None) -> list[tuple[int, str, str]]:
+    """(position, key, value) of an info file: CSV with quotes, line breaks inside quotes included; further cells belong to the value."""
+    found = enumerate(csv.reader(io.StringIO((text or "").removeprefix("\ufeff"), newline="")))
+    return [(at, cells[0].strip(), value) for at, cells in found if len(cells) > 1 and cells[0] != "key" and cells[0].strip() and (value := ",".join(cells[1:]).strip())]
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("key", T.StringType()), T.StructField("value", T.StringType())])))
+def _pairs(text: pd.Series) -> pd.Series:
+    return text.map(info_pairs)
+
+
 def read_info(spark: SparkSession, root: str, info: str = "info.csv") -> DataFrame:
     """``rel_dir``, ``pos``, ``key``, ``value`` rows of the items' info files.
 
-    Lines are key, value; a value cut by commas is joined again; the header ``key`` and lines without a value are left out.
+    Lines are key, value; a value cut by commas is joined again; the header ``key`` and lines without key or value are left out.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", info).option("wholetext", True).text(root).select("value", F.col("_metadata.file_path").alias("path"))
-    rel = _relative("path", root)
-    rows = lines.select(nfc(F.regexp_replace(rel, "/[^/]*$", "")).alias("rel_dir"), F.posexplode(F.split(F.regexp_replace("value", "^﻿", ""), r"\r?\n")).alias("pos", "line"))
-    cells = rows.filter(F.instr("line", ",") > 0).select("rel_dir", "pos", F.trim(F.substring_index("line", ",", 1)).alias("key"), F.trim(F.regexp_replace("line", r"^[^,]*,", "")).alias("value"))
-    clean = cells.withColumn("value", F.regexp_replace(F.regexp_replace("value", r'^"(.*)"$', "$1"), '""', '"'))
-    return clean.filter((F.col("key") != "key") & (F.col("key") != ""))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", info).option("wholetext", True).text(root).select("value", F.col("_metadata.file_path").alias("path"))
+    rows = files.select(nfc(F.regexp_replace(_relative("path", root), "/[^/]*$", "")).alias("rel_dir"), F.explode(_pairs("value")).alias("x"))
+    return rows.select("rel_dir", "x.pos", "x.key", "x.value")

@@ -71,22 +71,26 @@ def read_stage(spark: SparkSession, path: str, key_type: str, payload: str, key:
 
 def write_text(pieces: Iterable[str], path: str, spark: SparkSession | None = None) -> None:
     """A document, streamed in pieces to a file beside ``path`` and renamed; never held as a whole."""
+    _write_file((p.encode() for p in pieces), path, spark)
+
+
+def _write_file(pieces: Iterable[bytes], path: str, spark: SparkSession | None) -> None:
     spark = spark or SparkSession.active()
     staged = f"{path}.tmp-{uuid.uuid4().hex}"
     fs, new = filesystem(spark, staged)
     if fs.getScheme() == "file":
         fs = fs.getRawFileSystem()  # without checksum files, which other programs that write here wouldn't keep
     out = fs.create(new, True)
-    held: list[str] = []
+    held: list[bytes] = []
     size = 0
     try:
         for p in pieces:
             held.append(p)
             size += len(p)
             if size > 1 << 20:
-                out.write(bytearray("".join(held).encode()))
+                out.write(bytearray(b"".join(held)))
                 held, size = [], 0
-        out.write(bytearray("".join(held).encode()))
+        out.write(bytearray(b"".join(held)))
     except BaseException:
         out.close()
         fs.delete(new, False)
@@ -95,6 +99,11 @@ def write_text(pieces: Iterable[str], path: str, spark: SparkSession | None = No
     _swap(spark, staged, path)
 
 
+def write_bytes(content: bytes, path: str, spark: SparkSession | None = None) -> None:
+    """A small binary file, such as a picture."""
+    _write_file([content], path, spark)
+
+
 def write_json(payload: dict, path: str, spark: SparkSession | None = None) -> None:
     """A small document, keys sorted."""
     write_text([json.dumps(payload, ensure_ascii=False, indent=2, sort_keys=True)], path, spark)
