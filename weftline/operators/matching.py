@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.nulls import known
 from weftline.operators.ranking import counted_values, exact_quantiles, percent_rank_average
+from weftline.plans.bounded import small_side
 
 
 def reference_bank(df: DataFrame, item: str, vector: str, is_reference: str) -> DataFrame:
@@ -29,10 +30,12 @@ BLOCK = 512
 def _blocks(rows: DataFrame, item: str, vector: str, key: str | None, block: int) -> DataFrame:
     """Rows of ``item`` packed into blocks of about ``block`` vectors of one length: ``__item``, ``__dim``, ``vectors`` (and ``keys``)."""
     sized = rows.select(F.col(item).alias("__item"), F.size(vector).alias("__dim"), F.col(vector).alias("v"), *([F.col(key).alias("k")] if key else []))
-    n = sized.groupBy(F.col("__item").alias("i")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    dealt = sized.join(n, F.col("__item") == F.col("i")).withColumn("__b", F.pmod(F.xxhash64(*(["k"] if key else ["v"])), F.col("blocks")))
+    hot = sized.groupBy(F.col("__item").alias("i")).agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")).filter("blocks > 1")
+    dealt = sized.join(small_side(hot), F.col("__item") == F.col("i"), "left")
+    dealt = dealt.withColumn("__b", F.coalesce(F.pmod(F.xxhash64("k" if key else "v"), F.col("blocks")), F.lit(0)))
     lists = [F.collect_list("v").alias("vectors"), F.collect_list("k").alias("keys")] if key else [F.collect_set("v").alias("vectors")]
-    return dealt.groupBy("__item", "__dim", "__b").agg(*lists).drop("__b")
+    # Shuffled by block, not by item: a hot item's blocks are made in different tasks.
+    return dealt.repartition("__item", "__dim", "__b").groupBy("__item", "__dim", "__b").agg(*lists).drop("__b")
 
 
 def _compared(measure: Callable[[np.ndarray, np.ndarray], list[np.ndarray]], names: list[str]):
