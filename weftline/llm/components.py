@@ -78,8 +78,8 @@ def hook_and_shortcut(edges: DataFrame, src: str, dst: str, vertices: DataFrame
             release(link)
             return parent.select("vertex", F.col("parent").alias("group_id"))
         # Links run between roots. Hook: each root takes the smallest root it is linked to, if smaller.
-        tree = materialize(link.groupBy(F.col("v").alias("root")).agg(F.min("u").alias("up")), "tree")
-        while True:  # Shortcut the hooked roots, two steps per written table; each halves the depth of the trees.
+        tree = link.groupBy(F.col("v").alias("root")).agg(F.min("u").alias("up"))
+        while True:  # Shortcut the hooked roots, two steps per written table (the first is made together with the hooks); each halves the depth of the trees.
             seen = Observation()
             step = materialize(_shortcut(_shortcut(tree)).observe(seen, F.count_if("moved").alias("n")).drop("moved"), "tree")
             release(tree)
