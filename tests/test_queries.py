@@ -79,6 +79,18 @@ def test_masked_differences(spark, pictures):
         assert got[i]["l1_mask"] == (None if want is None else pytest.approx(want, abs=1e-6))
 
 
+def test_training_samples(spark, pictures):
+    got, turned = rows(spark, "training_samples"), 0
+    assert set(got) == set(pictures)
+    for i, (grey, parse, group, _) in pictures.items():
+        mirror = np.random.default_rng(i).random() < 0.5
+        turned += mirror
+        at = -1 if mirror else 0
+        assert got[i]["size"] == 3 * 48 * 48 and got[i]["masked"] == (px.agnostic_mask(parse, group) > 127).sum()
+        assert (got[i]["person"], got[i]["garment"]) == (pytest.approx(grey[0, at] / 127.5 - 1, abs=1e-5), pytest.approx(grey[::-1, ::-1][0, at] / 127.5 - 1, abs=1e-5))
+    assert 0 < turned < len(pictures)
+
+
 def test_garment_vectors(spark, pictures):
     got = rows(spark, "garment_vectors")
     assert set(got) == set(pictures)
@@ -123,8 +135,18 @@ def test_intervals(spark, con):
         assert abs(near[status]["ci_low"] - low) < 0.35 * width and abs(near[status]["ci_high"] - high) < 0.35 * width
 
 
+def test_paired_report(spark, con):
+    got = queries()["paired_report"](spark, SMALL).collect()
+    a, b = ({k: v for k, v in con.execute(f"select l_partkey, avg(l_discount)::double from lineitem where l_linestatus = '{s}' group by 1").fetchall()} for s in "OF")
+    d = np.array([b[k] - a[k] for k in sorted(a.keys() & b.keys())])
+    low, high = np.quantile(np.random.default_rng(0).choice(d, (5000, len(d))).mean(1), [0.025, 0.975])
+    (r,) = got
+    assert r["pairs"] == len(d) and r["mean_diff"] == pytest.approx(d.mean()) and (r["ci_low"], r["ci_high"]) == (pytest.approx(low, abs=1e-9), pytest.approx(high, abs=1e-9))
+    assert r["share_b_higher"] == pytest.approx((d > 0).mean()) and r["significant"] == (low > 0 or high < 0) and 0 <= r["p"] <= 1
+
+
 def test_every_query_without_sql_is_tested_here():
-    assert set(queries()) - set(oracle_sql()) == {"frame_features", "mask_load", "agnostic_refined", "masked_l1", "garment_vectors", "run_stage", "short_ids", "bootstrap_ci", "poisson_ci"}
+    assert set(queries()) - set(oracle_sql()) == {"frame_features", "mask_load", "agnostic_refined", "masked_l1", "garment_vectors", "run_stage", "short_ids", "bootstrap_ci", "poisson_ci", "training_samples", "paired_report"}
 
 
 def test_core_needs_no_optional_package():

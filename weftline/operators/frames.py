@@ -105,6 +105,27 @@ def masked_differences(df: DataFrame, key: str = "pair_id") -> DataFrame:
     return df.select(key, "a", "b", "mask", "height", "width").mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, l1_mask double")
 
 
+def training_samples(df: DataFrame, key: str = "pair_id", seed: int = 0, flip: bool = True) -> DataFrame:
+    """Arrays of training pairs: ``person`` and ``garment`` (channel first, -1..1), ``mask`` (0 or 1), flat, of frames ``person``, ``garment`` (RGB bytes) and ``mask`` of ``height`` x ``width``.
+
+    ``index`` (a column) and ``seed`` decide which pairs are mirrored. NULL for misshapen or missing bytes.
+    """
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            out = []
+            for r in b.to_pylist():
+                h, w = r["height"], r["width"]
+                m = _label_map({"parse": r["mask"], "height": h, "width": w})
+                ok = m is not None and all(r[c] is not None and len(r[c]) == h * w * 3 for c in ("person", "garment"))
+                rgb = [np.frombuffer(r[c], np.uint8).reshape(h, w, 3) for c in ("person", "garment")] if ok else []
+                out.append(pixels.training_sample(*rgb, m, r["index"], seed, flip) if ok else {})
+            cols = [pa.array([None if n not in o else o[n].reshape(-1) for o in out], pa.list_(pa.float32())) for n in ("person", "garment", "mask")]
+            yield pa.RecordBatch.from_arrays([b[key], *cols], [key, "person", "garment", "mask"])
+
+    return df.select(key, "index", "person", "garment", "mask", "height", "width").mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, person array<float>, garment array<float>, mask array<float>")
+
+
 def garment_vectors(df: DataFrame, key: str = "image_id", decoder: pixels.Decoder = pixels.decode, embed=None) -> DataFrame:
     """Vector of each frame's garment: ``embed(crop)``, by default its Lab colour features. An empty vector means no garment was found, NULL that an input is missing.
 

@@ -92,6 +92,21 @@ def bootstrap_interval(df: DataFrame, key: str, value: str, group: list[str], n_
     return out.select(*[F.col(f"g_{g}").alias(g) for g in group], "n", "mean", "ci_low", "ci_high")
 
 
+def paired_report(a: DataFrame, b: DataFrame, key: str, metric: str) -> DataFrame:
+    """One row for the difference b - a over common keys: ``pairs``, ``mean_diff``, ``ci_low``, ``ci_high``, ``share_b_higher``, ``significant`` (the interval leaves out 0) and the signed-rank ``p``.
+
+    Measures are NULL without pairs, the interval with fewer than two.
+    """
+    means = paired_compare(a, b, key, metric)
+    left = a.select(key, known(metric).alias("__a")).filter("__a is not null")
+    right = b.select(F.col(key).alias("__k"), known(metric).alias("__b")).filter("__b is not null")
+    d = left.join(right, F.col(key) == F.col("__k")).select(key, (F.col("__b") - F.col("__a")).alias("__d"), F.lit(0).alias("__g"))
+    span, p = bootstrap_interval(d, key, "__d", ["__g"]).first(), signed_rank(a, b, key, metric).first()["p"]
+    low, high = (span["ci_low"], span["ci_high"]) if span else (None, None)
+    apart = F.lit(low is not None and (low > 0 or high < 0))
+    return means.withColumns({"ci_low": F.lit(low).cast("double"), "ci_high": F.lit(high).cast("double"), "p": F.lit(p).cast("double"), "significant": apart})
+
+
 def poisson_interval(df: DataFrame, key: str, value: str, group: list[str], n_boot: int = 400, level: float = 0.95) -> DataFrame:
     """Bootstrap interval for groups of any size: Poisson(1) weights by hash of (key, resample) instead of resampling by position.
 

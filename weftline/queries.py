@@ -271,6 +271,16 @@ def _three(v: pd.Series) -> pd.Series:
     return v.map(lambda x: np.repeat(np.frombuffer(x, np.uint8), 3).tobytes())
 
 
+def _samples(s, d):
+    """Training arrays of each picture with the one turned upside down as garment; their first row, as digits."""
+    p = _parsed(s, d)
+    m = pixel_frames.agnostic_masks(p).withColumnRenamed("image_id", "__m")
+    pictures = p.select("image_id", F.substring("content", 14, 48 * 48).alias("grey")).join(m, F.col("image_id") == F.col("__m"))
+    rows = pictures.select("image_id", F.col("image_id").cast("int").alias("index"), _three("grey").alias("person"), _three(_reversed("grey")).alias("garment"), "mask", F.lit(48).alias("height"), F.lit(48).alias("width"))
+    first = lambda c: _r(F.col(c)[0].cast("double"), 5).alias(c)
+    return pixel_frames.training_samples(rows, "image_id").select("image_id", first("person"), first("garment"), F.aggregate("mask", F.lit(0.0), lambda a, x: a + x).alias("masked"), F.size("person").alias("size"))
+
+
 @F.pandas_udf(T.BinaryType())
 def _reversed(v: pd.Series) -> pd.Series:
     return v.map(lambda x: bytes(x)[::-1])
@@ -319,6 +329,7 @@ def queries():
         "mask_load": _masks,
         "agnostic_refined": _refined,
         "masked_l1": _masked_l1,
+        "training_samples": _samples,
         "garment_vectors": _colour,
         "run_stage": _staged,
         # metadata
@@ -386,6 +397,7 @@ def queries():
         "paired_compare": lambda s, d: stats.paired_compare(*_runs(s, d), "pair_id", "score").select("pairs", _r("mean_diff").alias("mean_diff"), _r("share_b_higher").alias("share_b_higher")),
         "compare_by_category": lambda s, d: stats.paired_compare(*_runs(s, d), "pair_id", "score", ["category"]).select("category", "pairs", _r("mean_diff").alias("mean_diff"), _r("share_b_higher").alias("share_b_higher")),
         "bootstrap_ci": _bootstrap,
+        "paired_report": lambda s, d: stats.paired_report(*_runs(s, d), "pair_id", "score"),
         "poisson_ci": _poisson,
         "signed_rank": lambda s, d: stats.signed_rank(*_runs(s, d), "pair_id", "score").select("n", _r("w_plus", 3).alias("w_plus"), _r("z", 4).alias("z")),
         "run_trend": lambda s, d: stats.run_trend(_t(s, d, "events"), ["ts", "event_id"], "event_id", "value").select("rows", *[_r(c).alias(c) for c in ("head", "tail", "change", "error", "slope_10k")], "significant"),
