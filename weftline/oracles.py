@@ -174,6 +174,7 @@ SQL = {
     "persons_crosstab": f"with {PAIRS}, x as (select branch, least(n_persons, 3)::int k from pairs) select branch, count(*) filter (where k = 0) \"0\", count(*) filter (where k = 1) \"1\", count(*) filter (where k = 2) \"2\", count(*) filter (where k = 3) \"3\" from x group by 1",
     "quality_percentiles": f"with {FRAMES} select branch, " + ", ".join(f"round(quantile_cont(sharpness::double, {q}::double), 1) p{n}" for q, n in (("0.05", "05"), ("0.1", "10"), ("0.5", "50"), ("0.9", "90"))) + " from frames group by 1",
     "reference_bank": "select label bank_item, count(*) vectors from embeddings where embedding[1] > 0 group by 1",
+    "dot_product": "select v.vec_id, round(list_dot_product(v.embedding::double[], f.e::double[]), 5) product from embeddings v join (select label, arg_min(embedding, vec_id) e from embeddings group by 1) f on f.label = v.label",
     "max_similarity": f"with {SIM} select vec_id, round(s, 5) garment_sim from sims",
     "l2_normalise": "select vec_id, round(embedding[1]::double * 3 / sqrt(list_sum(list_transform(embedding, lambda x: (x::double * 3) * (x::double * 3)))), 5) as first from embeddings",
     "torso_visible": f"with {SCORES} select vec_id, visible, torso_min from torso",

@@ -126,17 +126,24 @@ def stage_work(spark: SparkSession, roots: Roots, stage: str, shard: int = 0, sh
     return rows, todo if limit is None else todo.orderBy("image_id").limit(limit)
 
 
+#: Pending rows of a shard (id, path and group of each) that are sent to every worker at most.
+PENDING_SENT = 1_000_000
+
+
 def run_one_stage(spark: SparkSession, roots: Roots, stage: str, function, shard: int = 0, shards: int = 1, overwrite: bool = False, limit: int | None = None, batch: int = 64, content: bool = False) -> DataFrame:
     """Compute a stage for the pending rows of a shard; returns the rows that lack an input.
 
     New rows are added to the stage; with ``overwrite`` all rows of the shard are computed and take the place of what the stage had
     of them (rows that lack an input keep theirs). With ``content`` the function gets the frames' file bytes too: they are read where the files are, and
-    kept only for pending rows (their ids are sent along up to a measured number).
+    kept only for pending rows, whose ids and paths are sent along (measured, up to ``PENDING_SENT`` rows; a shard with more joins the bytes by a shuffle, so use more shards).
     """
     _, todo = stage_work(spark, roots, stage, shard, shards, overwrite, limit)
     todo = materialize(todo, "todo")
     inputs = {n: _stage(spark, roots, n) for n in stages.STAGES[stage].needs}
-    rows = _files(spark, roots).join(small_side(todo, 1_000_000), F.col("__r") == F.col("rel_path")).drop("__r") if content else todo
+    rows = todo
+    if content:
+        few = small_side(todo.select("image_id", "rel_path", "category_group"), PENDING_SENT)
+        rows = _files(spark, roots).join(few, F.col("__r") == F.col("rel_path")).drop("__r")
     done = materialize(stages.run_stage(rows, stage, inputs, function, batch=batch), "stage")
     if overwrite:
         replace_stage_rows(done, done.select("image_id"), roots.stage(stage))
@@ -270,7 +277,7 @@ def _differences(diff: DataFrame, group: list[str]) -> DataFrame:
     on = F.lit(True)
     for g in group:
         on = on & F.col(g).eqNullSafe(F.col(f"__{g}"))
-    out = out.join(F.broadcast(share), on).drop(*[f"__{g}" for g in group])  # one row per metric and run
+    out = out.join(small_side(share), on).drop(*[f"__{g}" for g in group])
     return out.withColumn("significant", F.coalesce((F.col("ci_low") > 0) | (F.col("ci_high") < 0), F.lit(False)))
 
 

@@ -126,6 +126,13 @@ def _similarity(s, d):
     return matching.max_similarity(v.filter("not embedding[0] > 0"), bank, "vec_id", "label", "embedding")
 
 
+def _dots(s, d):
+    """Inner product of each vector with the first vector of its label."""
+    v = _vectors(s, d)
+    first = v.groupBy(F.col("label").alias("__l")).agg(F.min_by("embedding", "vec_id").alias("first"))
+    return v.join(first, F.col("label") == F.col("__l")).select("vec_id", _r(vectors.dot("embedding", "first"), 5).alias("product"))
+
+
 def _boxes(s, d):
     """Detections out of vectors: four boxes each, with label and score."""
     v = _vectors(s, d).select("vec_id", F.col("embedding").alias("e"))
@@ -363,6 +370,7 @@ def queries():
         # vectors
         "reference_bank": lambda s, d: matching.bank_sizes(matching.reference_bank(_vectors(s, d), "label", "embedding", "embedding[0] > 0")),
         "max_similarity": lambda s, d: _similarity(s, d).select("vec_id", _r("garment_sim", 5).alias("garment_sim")),
+        "dot_product": _dots,
         "l2_normalise": lambda s, d: _vectors(s, d).select("vec_id", _r(vectors.l2_normalise(F.transform("embedding", lambda x: x.cast("double") * 3))[0], 5).alias("first")),
         "torso_visible": lambda s, d: _scores(s, d).select("vec_id", vectors.torso_visible("scores").alias("visible"), _r(vectors.torso_min("scores"), 5).alias("torso_min")),
         "largest_box": lambda s, d: _boxes(s, d).select("vec_id", vectors.largest_box(F.transform("det", lambda x: x["box"]))[0].alias("x0"), vectors.largest_box(F.transform("det", lambda x: x["box"]))[3].alias("y1")),
