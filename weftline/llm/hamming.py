@@ -23,10 +23,6 @@ _DENSE, _SMALL, _MIDDLE, _BLOCK = 256, 512, 1 << 16, 1024
 Pairs = Iterator[tuple[np.ndarray, np.ndarray]]
 
 
-def signed(mask: int) -> int:
-    return mask - (1 << 64) if mask >> 63 else mask
-
-
 def split_bits(bits: list[int], parts: int) -> list[int]:
     """Masks of ``parts`` runs of the given bit positions, sizes as even as possible."""
     cut = [round(i * len(bits) / parts) for i in range(parts + 1)]
